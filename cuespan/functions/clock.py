@@ -43,22 +43,27 @@ def _whole(sec: Column) -> Column:
 
 def mmss(sec: Column) -> Column:
     s = _whole(sec)
-    return F.format_string("%02dm%02ds", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    return F.when(
+        sec.isNotNull(), F.format_string("%02dm%02ds", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    )
 
 
 def wall_clock(sec: Column) -> Column:
     s = _whole(sec)
-    return F.format_string(
+    text = F.format_string(
         "%02d:%02d:%02d",
         F.pmod(F.floor(s / 3600), F.lit(24)),
         F.floor(F.pmod(s, F.lit(3600)) / 60),
         F.pmod(s, F.lit(60)),
     )
+    return F.when(sec.isNotNull(), text)
 
 
 def minutes_text(sec: Column) -> Column:
     s = _whole(sec)
-    return F.format_string("%d分%02d秒", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    return F.when(
+        sec.isNotNull(), F.format_string("%d分%02d秒", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    )
 
 
 def in_hours(hour: Column, start: int, end: int) -> Column:

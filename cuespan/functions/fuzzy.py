@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -43,12 +44,22 @@ def match_operator(text: Column, names: Sequence[str] | None = None) -> Column:
     return F.when(t != "", F.coalesce(inside, near))
 
 
+_LATIN = r"^[A-Za-z0-9\-\.]+$"
+
+
 def clean_weapon(text: Column, names: Sequence[str] | None = None) -> Column:
-    """Weapon name behind a reading, NULL for ammunition, calibres and interface words."""
-    table = lits(names if names is not None else [n for n, _ in K.WEAPONS])
+    """Weapon name behind a reading, NULL for ammunition, calibres and interface words.
+
+    The table is turned into literals here (upper case, Latin names apart), so that only the
+    comparisons are left to do per row.
+    """
+    names = list(names if names is not None else [n for n, _ in K.WEAPONS])
+    by_upper: dict[str, str] = {}
+    for n in names:
+        by_upper.setdefault(n.upper(), n)
+    latin = [n for n in names if re.match(_LATIN, n)]
     t = F.replace(F.btrim(text), F.lit(" "), F.lit(""))
     up = F.upper(t)
-    latin = r"^[A-Za-z0-9\-\.]+$"
     usable = (
         F.length(t).between(2, 14)
         & ~t.rlike(K.AMMO_TEXT)
@@ -57,12 +68,10 @@ def clean_weapon(text: Column, names: Sequence[str] | None = None) -> Column:
         & ~text.rlike(K.HUD_NOISE)
         & t.rlike(r"[A-Za-z一-鿿]")
     )
-    exact = F.get(F.filter(table, lambda n: F.upper(n) == up), F.lit(0))
-    near = F.when(
-        t.rlike(latin),
-        F.get(F.filter(table, lambda n: n.rlike(latin) & edit_le1(F.upper(n), up)), F.lit(0)),
-    )
-    cut = F.filter(table, lambda n: (n != t) & (F.startswith(n, t) | F.endswith(n, t)))
+    exact = F.element_at(F.create_map(*[F.lit(x) for kv in by_upper.items() for x in kv]), up)
+    close = F.array_position(F.transform(lits([n.upper() for n in latin]), lambda n: edit_le1(n, up)), True)
+    near = F.when(t.rlike(_LATIN) & (close > 0), F.element_at(lits(latin), close.cast("int")))
+    cut = F.filter(lits(names), lambda n: (n != t) & (F.startswith(n, t) | F.endswith(n, t)))
     whole = F.when(F.size(cut) == 1, F.get(cut, F.lit(0)))
     return F.when(usable, F.coalesce(exact, near, whole, t))
 

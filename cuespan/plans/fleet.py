@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,8 +224,6 @@ def repair_mojibake(lines: DataFrame, column: str = "line") -> DataFrame:
 
     Spark has no GBK codec, so the bytes are re-read in an Arrow batch.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def reread(s: pd.Series) -> pd.Series:
         def one(x: str | None) -> str | None:

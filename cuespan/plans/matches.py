@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuespan import constants as K
 from cuespan.functions import clock
 from cuespan.functions import text as tx
 from cuespan.operators.intervals import count_in_spans
-from cuespan.operators.ordered import gap_groups, lane, number_rows, scan
+from cuespan.operators.ordered import gap_groups, lane, scan
+from cuespan.session import cut_lineage
 
 DAY = 86400
 HALF_DAY = 43200
@@ -47,9 +47,11 @@ def part_bases(parts: DataFrame) -> DataFrame:
     zero = roll_over(zero, keys, order, "__base").select(
         "session", "src", "part_seq", F.col("adjusted").alias("zero_base")
     )
-    return zero.join(strict, ["session", "src"], "left").select(
+    out = zero.join(strict, ["session", "src"], "left").select(
         "session", "src", "part_seq", "base", "zero_base"
     )
+    # one row per part, read by every step after this one
+    return cut_lineage(out)
 
 
 def on_clock(events: DataFrame, bases: DataFrame) -> DataFrame:
@@ -74,6 +76,31 @@ def match_starts(timed: DataFrame, width: float) -> DataFrame:
     )
 
 
+def numbered_events(timed: DataFrame, width: float) -> DataFrame:
+    """Starts, downs, pickups and settlements with the number of the match they fall in.
+
+    A settlement counts where it ends, everything else where it starts; a start opens its own
+    match, so starts come first among rows of one instant. One carried count does it for all.
+    """
+    is_ext = F.col("kind") == "extract"
+    is_start = F.col("kind") == "match_start"
+    rows = timed.where(
+        F.col("abs_t").isNotNull() & F.col("kind").isin("match_start", "down", "loot", "extract")
+    ).select(
+        "session", "src", "kind", "t_start",
+        F.when(is_ext, F.col("base") + F.col("t_end")).otherwise(F.col("abs_t")).alias("at"),
+        F.when(is_start, 0).otherwise(1).alias("side"),
+        F.when(is_ext, F.contains("detail", F.lit(K.SUCCESS))).alias("ok"),
+        F.when(is_ext, F.col("meta.profit")).alias("profit_text"),
+        F.when(is_ext, F.col("meta.kills_official")).alias("kills_text"),
+    )
+    out = scan(
+        rows, lane("session", ("at", "side", "src", "t_start"), width),
+        running={"no": F.when(is_start, 1).otherwise(0).cast("long")},
+    )
+    return out.where(F.col("no") > 0)
+
+
 def build_matches(events: DataFrame, bases: DataFrame, width: float = 86400.0) -> DataFrame:
     """One row per match: entry, duration, downs, bursts, pickups, outcome and gear.
 
@@ -81,27 +108,33 @@ def build_matches(events: DataFrame, bases: DataFrame, width: float = 86400.0) -
     kills_official, operator, operator_class, primary_weapon. Events of parts without a clock are
     left out (count them with :func:`unclocked`).
     """
-    timed = on_clock(events, bases)
-    starts = match_starts(timed, width)
-    marks = starts.select("session", "enter")
-    known = timed.where(F.col("abs_t").isNotNull())
-
-    acts = known.where(F.col("kind").isin("down", "loot")).select(
-        "session", "src", "kind", "t_start", "abs_t"
-    )
-    numbered = count_in_spans(marks, acts, ["session"], "enter", "abs_t", width)
-    counts = numbered.groupBy("session", "no").agg(
+    at = ["session", "no"]
+    numbered = cut_lineage(numbered_events(on_clock(events, bases), width))
+    start, end = F.col("kind") == "match_start", F.col("kind") == "extract"
+    act = F.when(F.col("kind").isin("down", "loot"), F.col("src"))
+    per = numbered.groupBy(*at).agg(
+        F.min_by(F.struct("src", "t_start", F.col("at").alias("enter")), F.when(start, F.col("at"))).alias("s"),
         F.count_if(F.col("kind") == "down").alias("downs"),
         F.count_if(F.col("kind") == "loot").alias("loots"),
-        (F.min("src") != F.max("src")).alias("cross_part"),
+        F.coalesce(F.min(act) != F.max(act), F.lit(False)).alias("cross_part"),
+        F.min_by(
+            F.struct(F.col("at").alias("abs_end"), "ok", "profit_text", "kills_text"),
+            F.when(end, F.struct("at", "src", "t_start")),
+        ).alias("x"),
+    ).select(*at, "s.*", "downs", "loots", "cross_part", "x.*")
+    per = scan(
+        per.withColumn("__no", F.col("no").cast("double")), lane("session", ("__no",), 1024.0),
+        following={"next_enter": F.col("enter")},
     )
-    downs = numbered.where(F.col("kind") == "down").select("session", "no", "t_start")
     bursts = (
-        gap_groups(downs, lane(("session", "no"), "t_start", width), BURST_GAP, "burst")
-        .groupBy("session", "no", "burst")
+        gap_groups(
+            numbered.where(F.col("kind") == "down").select(*at, "t_start"),
+            lane(("session", "no"), "t_start", width), BURST_GAP, "burst",
+        )
+        .groupBy(*at, "burst")
         .agg(F.count("*").alias("size"))
         .where(F.col("size") >= 2)
-        .groupBy("session", "no")
+        .groupBy(*at)
         .agg(
             F.count("*").alias("multi"),
             F.array_sort(F.collect_list(F.struct("burst", "size"))).getField("size").alias(
@@ -109,36 +142,13 @@ def build_matches(events: DataFrame, bases: DataFrame, width: float = 86400.0) -
             ),
         )
     )
-    ends = known.where(F.col("kind") == "extract").select(
-        "session", (F.col("base") + F.col("t_end")).alias("abs_end"),
-        F.contains("detail", F.lit(K.SUCCESS)).alias("ok"),
-        F.col("meta.profit").alias("profit_text"),
-        F.col("meta.kills_official").alias("kills_text"),
-        "src", "t_start",
-    )
-    closing = (
-        count_in_spans(marks, ends, ["session"], "enter", "abs_end", width)
-        .groupBy("session", "no")
-        .agg(
-            F.min_by(
-                F.struct("abs_end", "ok", "profit_text", "kills_text"),
-                F.struct("abs_end", "src", "t_start"),
-            ).alias("x")
-        )
-        .select("session", "no", "x.*")
-    )
+    later = F.col("line_no") if "line_no" in events.columns else F.col("t_end")
     gear = events.where(F.col("kind") == "loadout").groupBy("session", "src", "t_start").agg(
         F.max_by(
-            F.struct("meta.operator", "meta.operator_class", "meta.primary_weapon"), F.col("t_end")
+            F.struct("meta.operator", "meta.operator_class", "meta.primary_weapon"), later
         ).alias("g")
     )
-    at = ["session", "no"]
-    m = (
-        starts.join(counts, at, "left")
-        .join(bursts, at, "left")
-        .join(closing, at, "left")
-        .join(gear, ["session", "src", "t_start"], "left")
-    )
+    m = per.join(bursts, at, "left").join(gear, ["session", "src", "t_start"], "left")
 
     def gear_text(name: str) -> Column:
         return F.coalesce(F.col("g").getField(name), F.lit("")).alias(name)
@@ -149,14 +159,10 @@ def build_matches(events: DataFrame, bases: DataFrame, width: float = 86400.0) -
         "session", "no", "src", "t_start", "enter", "next_enter",
         (F.coalesce("abs_end", "next_enter") - F.col("enter")).alias("dur"),
         gear_text("operator"), gear_text("operator_class"), gear_text("primary_weapon"),
-        F.coalesce("downs", F.lit(0)).alias("downs"),
-        F.coalesce("multi", F.lit(0)).alias("multi"),
+        "downs", F.coalesce("multi", F.lit(0)).alias("multi"),
         F.coalesce("multi_sizes", F.array().cast("array<bigint>")).alias("multi_sizes"),
         F.when(won, tx.to_count(F.col("kills_text"))).alias("kills_official"),
-        F.coalesce("loots", F.lit(0)).alias("loots"),
-        "ok",
-        profit.alias("profit"),
-        F.coalesce("cross_part", F.lit(False)).alias("cross_part"),
+        "loots", "ok", profit.alias("profit"), "cross_part",
     )
 
 
@@ -241,7 +247,7 @@ def session_gear(events: DataFrame, bases: DataFrame, width: float = 86400.0) ->
     )
     inside = count_in_spans(marks, rows, ["session"], "enter", "abs_t", width)
     heroes = inside.where(F.coalesce("hero", F.lit("")) != "").groupBy("session", "no").agg(
-        F.min_by("hero", F.struct("abs_t", "src")).alias("hero")
+        F.min_by("hero", F.struct("abs_t", "src", "hero")).alias("hero")
     )
     seen = (
         inside.select("session", "no", "abs_t", F.posexplode("weapons").alias("pos", "weapon"))
@@ -269,8 +275,3 @@ def span_numbers(events: DataFrame, targets: DataFrame, t: str, width: float = 3
         "__e.*", F.when(F.col("match_no") > 0, F.col("match_no")).alias("match_no")
     )
 
-
-__all__ = [
-    "build_matches", "number_rows", "part_bases", "report_document", "report_lines",
-    "report_totals", "roll_over", "session_gear", "span_numbers", "unclocked", "W",
-]

@@ -27,18 +27,26 @@ def timed_sentences(docs: DataFrame, keys: tuple[str, ...] = ("session", "src"))
     first to its last stamped character; without any it is dropped. A text none of whose sentences
     got a time is one sentence over all stamps.
     """
-    rows = split_sentences(docs.select(*keys, "text", "stamps"), keys)
+    rows = split_sentences(docs.select(*keys, F.size("stamps").alias("__n"), "text"), keys)
     sounds = F.length(F.regexp_replace("piece", _SOUNDLESS, "")).cast("long")
     rows = scan(rows.withColumn("__k", sounds), lane(keys, ("pos",), 4096.0), running={"upto": F.col("__k")})
-    n = F.size("stamps")
-    first = (F.col("upto") - F.col("__k")).cast("int")
-    last = F.least(F.col("upto"), n.cast("long")).cast("int")
-    timed = (F.col("__k") > 0) & (first < n)
-    sents = rows.where(timed).select(
-        *keys, F.col("pos").alias("id"),
-        (F.get(F.get("stamps", first), F.lit(0)) / 1000.0).alias("start"),
-        (F.get(F.get("stamps", last - 1), F.lit(1)) / 1000.0).alias("end"),
-        F.btrim("piece").alias("text"),
+    n = F.col("__n").cast("long")
+    rows = rows.withColumn("first", F.col("upto") - F.col("__k")).withColumn(
+        "final", F.least(F.col("upto"), n) - 1
+    ).where((F.col("__k") > 0) & (F.col("first") < n) & (F.btrim("piece") != ""))
+    # stamps meet their sentence by position, one row per character, spread over all tasks
+    stamps = docs.select(*keys, F.posexplode("stamps").alias("i", "st")).select(
+        *keys, F.col("i").cast("long").alias("i"), "st"
+    )
+    opening = stamps.select(*keys, F.col("i").alias("first"), F.get("st", F.lit(0)).alias("ms0"))
+    closing = stamps.select(*keys, F.col("i").alias("final"), F.get("st", F.lit(1)).alias("ms1"))
+    sents = (
+        rows.join(opening, [*keys, "first"])
+        .join(closing, [*keys, "final"])
+        .select(
+            *keys, F.col("pos").alias("id"), (F.col("ms0") / 1000.0).alias("start"),
+            (F.col("ms1") / 1000.0).alias("end"), F.btrim("piece").alias("text"),
+        )
     )
     whole = (
         docs.where((F.size("stamps") > 0) & (F.btrim("text") != ""))
@@ -50,7 +58,7 @@ def timed_sentences(docs: DataFrame, keys: tuple[str, ...] = ("session", "src"))
             F.btrim("text").alias("text"),
         )
     )
-    return sents.where(F.col("text") != "").unionByName(whole)
+    return sents.unionByName(whole)
 
 
 def prefer_labelled(raw: DataFrame, labelled: DataFrame) -> DataFrame:

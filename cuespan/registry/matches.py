@@ -41,14 +41,16 @@ ex AS (
   WHERE ab.kind = 'extract'),
 mt AS (
   SELECT st.session, st.no, st.src, st.enter, round(coalesce(ex.abs_end, st.nxt) - st.enter, 3) AS dur,
-    CASE WHEN st.k % 2 = 0 THEN ['红狼', '骇爪', '蜂医'][st.k % 3 + 1] ELSE '' END AS operator,
-    CASE WHEN st.k % 2 = 0 THEN ['M4A1', 'AKM', 'MP5', 'P90'][st.k % 4 + 1] ELSE '' END AS primary_weapon,
+    coalesce(['红狼', '骇爪', '蜂医'][gk % 3 + 1], '') AS operator,
+    coalesce(['M4A1', 'AKM', 'MP5', 'P90'][gk % 4 + 1], '') AS primary_weapon,
     coalesce(downs, 0) AS downs, coalesce(multi, 0) AS multi, coalesce(sizes, '') AS multi_sizes,
     CASE WHEN ex.ok THEN CASE WHEN ex.k % 5 = 0 THEN 3 ELSE ex.k % 12 END END AS kills_official,
     coalesce(loots, 0) AS loots, ex.ok,
     CASE WHEN ex.ok AND ex.k % 6 <> 0 THEN ex.k * 1000 + (ex.k * 7) % 1000 END AS profit,
     coalesce(cross_part, false) AS cross_part
   FROM st LEFT JOIN cnt USING (session, no) LEFT JOIN bu USING (session, no)
+    LEFT JOIN (SELECT src, t_start, arg_max(k, line_no) AS gk FROM tl WHERE kind = 'match_start' AND k % 2 = 0 GROUP BY 1, 2) ge
+      ON ge.src = st.src AND ge.t_start = st.t_start
     LEFT JOIN ex ON ex.session = st.session AND ex.no = st.no AND ex.rn = 1)"""
 
 
@@ -101,10 +103,15 @@ def unclocked_events(spark, sf):
     return matches.unclocked(T.timeline(spark, sf), matches.part_bases(T.parts(spark, sf)))
 
 
-@query("match_gear", f"""WITH RECURSIVE {MATCHES} SELECT session, no, operator AS hero,
-  ['M4A1', 'AKM', 'MP5', 'P90'][k % 4 + 1] || CASE WHEN ['M4A1', 'AKM', 'MP5', 'P90'][k % 4 + 1] = ['AKM', 'M700'][(k + 1) % 2 + 1] THEN ''
-    ELSE '+' || ['AKM', 'M700'][(k + 1) % 2 + 1] END AS weapons
-FROM (SELECT mt.*, st.k FROM mt JOIN st USING (session, no)) WHERE operator <> ''""")
+@query("match_gear", f"""WITH RECURSIVE {MATCHES}, ge AS (
+  SELECT ab.session, ab.src, ab.abs_t, ['红狼', '骇爪', '蜂医'][k % 3 + 1] AS hero,
+    unnest([['M4A1', 'AKM', 'MP5', 'P90'][k % 4 + 1], ['AKM', 'M700'][(k + 1) % 2 + 1]]) AS weapon, unnest([0, 1]) AS pos,
+    (SELECT count(*) FROM st WHERE st.session = ab.session AND st.enter <= ab.abs_t) AS no
+  FROM ab WHERE kind = 'match_start' AND k % 2 = 0),
+he AS (SELECT session, no, arg_min(hero, (abs_t, src, hero)) AS hero FROM ge GROUP BY 1, 2),
+we AS (SELECT session, no, weapon, min((abs_t, pos)) AS first FROM ge GROUP BY 1, 2, 3)
+SELECT session, no, hero, (SELECT string_agg(weapon, '+' ORDER BY first, weapon) FROM we WHERE we.session = he.session AND we.no = he.no) AS weapons
+FROM he""")
 def match_gear(spark, sf):
     g = matches.session_gear(T.timeline(spark, sf, with_gear=True), matches.part_bases(T.parts(spark, sf)), W)
     return g.select("session", "no", "hero", F.array_join("weapons", "+").alias("weapons"))
