@@ -56,15 +56,24 @@ def targets(files: DataFrame, stable_sec: float, now: float) -> DataFrame:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """sha1 of a folder path with name, size and whole mtime of its videos in path order."""
+    """sha1 of a folder path with name, size and whole mtime of the videos below it, in walk order.
+
+    Folders see up to three levels of subfolders. One hash over one ordered listing is what the
+    value is, so a folder's listing (names, not bytes) meets in one group.
+    """
     rows = with_pieces(files)
+    n = F.size("pieces")
+    depth = F.explode(F.sequence(F.greatest(F.lit(0), n - 1 - MAX_DEPTH), n - 1))
+    rows = rows.withColumn("k", depth)
+    folder = F.concat_ws("/", "root", F.array_join(F.slice("pieces", 1, F.col("k")), "/"))
+    rows = rows.withColumn("target", F.when(F.col("k") == 0, F.col("root")).otherwise(folder))
     piece = F.concat(
         F.lit("|"), clock.base_name(F.col("path")), F.lit("|"), F.col("size").cast("string"),
         F.lit("|"), F.col("mtime").cast("long").cast("string"),
     )
-    listing = F.array_sort(F.collect_list(F.struct("path", piece.alias("p")))).getField("p")
-    return rows.groupBy(F.col("folder").alias("target")).agg(
-        F.sha1(F.concat(F.col("folder"), F.array_join(listing, ""))).alias("fingerprint")
+    listing = F.array_sort(F.collect_list(F.struct("pieces", piece.alias("p")))).getField("p")
+    return rows.groupBy("target").agg(
+        F.sha1(F.concat(F.col("target"), F.array_join(listing, ""))).alias("fingerprint")
     )
 
 
@@ -99,7 +108,7 @@ def unprocessed_bytes(files: DataFrame, jobs: DataFrame, stable_sec: float, now:
 
 def new_bytes(files: DataFrame, stable_sec: float, now: float, window_sec: float = 86400.0) -> DataFrame:
     """Bytes written in ``(now - window, now]``, without top-level entries that are still growing."""
-    rows = with_pieces(files)
+    rows = with_pieces(files).where(F.size("pieces") <= MAX_DEPTH + 2)
     entry = F.get("pieces", F.lit(0))
     fresh = (F.col("mtime") > now - window_sec) & (F.col("mtime") <= now)
     per = rows.groupBy("root", entry.alias("entry")).agg(

@@ -260,7 +260,7 @@ def process_presence(spark, sf):
     return process_hits(e.select(F.col("user_id").alias("host"), "ts", name.alias("process_name")), K.PROCESS_NAMES, K.PROCESS_EXCLUDES)
 
 
-@query("mojibake_repair", "SELECT doc_id, md5(text) AS fixed FROM documents")
+@query("mojibake_repair")
 def mojibake_repair(spark, sf):
     return fleet.repair_mojibake(docs(spark, sf), "text").select("doc_id", F.md5("text").alias("fixed"))
 
