@@ -10,7 +10,8 @@ from cuespan.functions import clock
 from cuespan.functions import text as tx
 from cuespan.operators.intervals import stab
 from cuespan.operators.ordered import asof, gap_groups, has_within, lane, nearest, scan
-from cuespan.plans.detect import confirmed_increases, container_reads, in_region
+from cuespan.plans.detect import container_reads, in_region
+from cuespan.session import cut_lineage
 
 PART = ("session", "src")
 CHUNK = 600.0
@@ -97,6 +98,9 @@ def loot_islands(events: DataFrame, merge_sec: float = 25.0, width: float = CHUN
         "price", "price_source",
     )
     clustered = gap_groups(loots, lane(PART, "t_start", width), merge_sec, "cluster")
+    if merge_sec <= 30.0:
+        # no pause inside a cluster can then exceed the 30 s that part islands
+        return clustered.withColumn("island", F.lit(1).cast("long"))
     return gap_groups(clustered, lane((*PART, "cluster"), "t_start", width), 30.0, "island")
 
 
@@ -124,10 +128,15 @@ def interface_sessions(
     strip = container_reads(readings.where(in_region(K.CONTAINER_STRIP) & (F.col("score") >= 0.5)))
     per_frame = strip.groupBy(*PART, "t", "container").agg(F.max_by("cur", "seq").alias("cur"))
     near = stab(per_frame, spans, PART, "t", "lo", "hi", 60.0).drop("lo", "hi")
-    reads = gap_groups(near, lane(ISLAND, "t", width), 2.2, "view")
+    # container readings near islands are a small part of all readings; read three times below
+    reads = cut_lineage(gap_groups(near, lane(ISLAND, "t", width), 2.2, "view"))
     view = (*ISLAND, "view")
-    moved = scan(
-        reads, lane((*view, "container"), "t", width), prev={"before": F.col("cur")}
+    moved = cut_lineage(
+        scan(
+            reads, lane((*view, "container"), "t", width),
+            prev={"before": F.col("cur")},
+            following={"next": F.col("cur"), "next_t": F.col("t")},
+        )
     )
     edges = reads.groupBy(*view).agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
     at_edges = (
@@ -153,8 +162,9 @@ def interface_sessions(
             "organizing",
         )
     )
-    jumps = confirmed_increases(reads, (*view, "container"), ("t",), "cur", width).select(
-        *view, "container", "t", "prev", "cur", "next_t"
+    # the rule of ``confirmed_increases``, on the neighbours already at hand
+    jumps = moved.where((F.col("cur") > F.col("before")) & (F.col("next") >= F.col("cur"))).select(
+        *view, "container", "t", F.col("before").alias("prev"), "cur", "next_t"
     )
     return sessions, jumps
 
@@ -171,7 +181,7 @@ def pickup_sessions(
     width: float = CHUNK,
 ) -> DataFrame:
     """Pickup clips with their cut, match, nearest down, jumps and a ``lobby`` audit flag."""
-    islands = loot_islands(events, merge_sec, width)
+    islands = cut_lineage(loot_islands(events, merge_sec, width))
     sessions, jumps = interface_sessions(readings, islands, width=width)
     view = [*ISLAND, "view"]
     usable = sessions.join(jumps.select(*view).distinct(), view, "left_semi").withColumn(
@@ -193,6 +203,7 @@ def pickup_sessions(
         F.min_by(F.struct(*[c for c in candidates.columns if c not in PART]),
                  F.struct("cluster", "island", "view")).alias("s")
     ).select(*PART, "s.*")
+    kept = cut_lineage(kept)
     picks = jumps.select(*view, "container", "t", "prev", "cur").unionByName(
         own.select(
             *ISLAND, F.lit(0).cast("long").alias("view"),
@@ -232,8 +243,7 @@ def pickup_sessions(
         F.min_by("named", F.when(F.col("named").isNotNull(), F.struct("t", "container"))).alias("named"),
         F.array_sort(F.collect_list(item)).alias("events"),
     )
-    rows = kept.join(rolled, view)
-    rows = rows.withColumn("label", session_label())
+    rows = cut_lineage(kept.join(rolled, view).withColumn("label", session_label()))
     rows = flag_lobby(rows, readings, width)
     base = bases.select(*PART, "zero_base")
     rows = rows.join(base, list(PART)).withColumn("abs_t", F.col("zero_base") + F.col("first_pick"))

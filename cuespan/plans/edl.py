@@ -20,6 +20,7 @@ from cuespan.operators.intervals import first_k, stab
 from cuespan.operators.merging import keep_apart
 from cuespan.operators.ordered import asof, has_within, lane, number_rows, scan
 from cuespan.plans.matches import span_numbers
+from cuespan.session import cut_lineage
 
 PART = ("session", "src")
 CHUNK = 3600.0
@@ -31,16 +32,19 @@ def clusters(pool: DataFrame, kind: str = "down", gap: float = 15.0, width: floa
 
     Returns (session, cl, src, t_first, t_last, n), ``cl`` numbering the runs in time order.
     """
-    return cluster_rows(pool, kind, gap, width).groupBy("session", "cl").agg(
+    out = cluster_rows(pool, kind, gap, width).groupBy("session", "cl").agg(
         F.min("src").alias("src"), F.min("t_start").alias("t_first"),
         F.max("t_start").alias("t_last"), F.count("*").alias("n"),
     )
+    # one row per cluster, ranked and joined several times by the templates
+    return cut_lineage(out)
 
 
 def cluster_rows(pool: DataFrame, kind: str, gap: float, width: float = CHUNK) -> DataFrame:
     rows = pool.where(F.col("kind") == kind).select(*PART, "t_start", "part_dir", "line_no")
     ln = lane(S, ("t_start", "part_dir", "line_no"), width)
     rows = scan(rows, ln, prev={"__ps": F.col("src"), "__pt": F.col("t_start")})
+    rows = cut_lineage(rows)
     opens = F.when(
         F.col("__ps").isNull()
         | (F.col("__ps") != F.col("src"))
@@ -86,6 +90,7 @@ def snap_windows(segs: DataFrame, sentences: DataFrame, min_len: float = 2.5) ->
     sentences from its end. Sources without sentences keep their times.
     """
     key = ["session", "seg"]
+    segs = cut_lineage(segs)  # read five times below
     talk = sentences.select(
         *PART, F.col("id").alias("sid"), F.col("start").alias("sa"), F.col("end").alias("sb")
     )
@@ -109,7 +114,7 @@ def snap_windows(segs: DataFrame, sentences: DataFrame, min_len: float = 2.5) ->
     rows = rows.withColumn("a", F.coalesce("s0", F.greatest(F.lit(0.0), "t0"))).withColumn(
         "b", F.coalesce("s1", "t1")
     )
-    rows = rows.withColumn("lim", F.col("a") + F.col("cap"))
+    rows = cut_lineage(rows.withColumn("lim", F.col("a") + F.col("cap")))
     inside = (
         stab(talk, rows.where(F.col("b") - F.col("a") > F.col("cap")).select(*key, "src", "a", "lim"),
              PART, "sa", "a", "lim", 30.0)
@@ -247,7 +252,7 @@ def drop_false(pool: DataFrame, fps: DataFrame, radius: float = 5.0, width: floa
         "__hi", F.col("t_start") + radius
     )
     out = has_within(rows, fps, list(PART), "__lo", "__hi", "fp_t", width, name="__fp")
-    return out.where(~F.col("__fp")).drop("__lo", "__hi", "__fp")
+    return cut_lineage(out.where(~F.col("__fp")).drop("__lo", "__hi", "__fp"))
 
 
 def merge_picked(picks: DataFrame, cl: DataFrame, count: int, radius: float = 45.0) -> DataFrame:
@@ -503,7 +508,7 @@ def snap_to_shots(
         F.col(t) - shift, F.when(F.col("__talk"), F.coalesce(F.col("__b.sb"), F.lit(0.0)))
     )
     hi = F.least(F.col(t) + shift, F.col("__a.sa"))
-    rows = rows.withColumn("__lo", lo).withColumn("__hi", hi)
+    rows = cut_lineage(rows.withColumn("__lo", lo).withColumn("__hi", hi))
     iv = rows.where(F.col("__hi") - F.col("__lo") >= 0.1).select(
         *key, "src", F.col(t).alias("__t"), "__lo", "__hi"
     )

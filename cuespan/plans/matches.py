@@ -38,7 +38,9 @@ def roll_over(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], base
 
 def part_bases(parts: DataFrame) -> DataFrame:
     """(session, src, base, zero_base): NULL base for parts without a stamp; zero counts them as 0."""
-    stamped = parts.withColumn("__base", clock.clock_base(F.col("filename")))
+    stamped = cut_lineage(
+        parts.select("session", "src", "part_seq", clock.clock_base(F.col("filename")).alias("__base"))
+    )
     keys, order = ("session",), ("part_seq",)
     strict = roll_over(stamped.where(F.col("__base").isNotNull()), keys, order, "__base").select(
         "session", "src", F.col("adjusted").alias("base")
