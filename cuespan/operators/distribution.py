@@ -85,3 +85,43 @@ def strict_rank(
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     joined = df.join(ranked, cond, "left").drop("__value", *[f"__k_{k}" for k in keys])
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(float(empty))))
+
+
+def strict_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    ids: Sequence[str],
+    signals: Mapping[str, str],
+    reference: Column | None = None,
+    empty: float = 0.5,
+) -> DataFrame:
+    """Strict ranks of several columns at once; ``ids`` name a row within its key.
+
+    ``signals`` maps new column names to value columns. The columns are stacked, ranked together in
+    one pass keyed by column, and folded back by row, so the input is read three times however many
+    columns there are.
+    """
+    keys, ids = list(keys), list(ids)
+    in_ref = F.lit(True) if reference is None else F.coalesce(reference, F.lit(False))
+    stacked = df.select(
+        *keys, *ids, in_ref.alias("__ref"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(n).alias("sig"), F.col(c).cast("double").alias("val"))
+                    for n, c in signals.items()
+                ]
+            )
+        ).alias("__x"),
+    ).select(*keys, *ids, "__ref", F.col("__x.sig").alias("__sig"), F.col("__x.val").alias("__val"))
+    ranked = strict_rank(
+        stacked.where(F.col("__val").isNotNull()), [*keys, "__sig"], "__val", "__rank",
+        reference=F.col("__ref"), empty=empty,
+    )
+    folded = ranked.groupBy(*keys, *ids).agg(
+        *[F.max(F.when(F.col("__sig") == n, F.col("__rank"))).alias(n) for n in signals]
+    )
+    out = df.join(folded, [*keys, *ids], "left")
+    return out.select(
+        *df.columns, *[F.coalesce(F.col(n), F.lit(float(empty))).alias(n) for n in signals]
+    )

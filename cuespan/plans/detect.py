@@ -14,7 +14,8 @@ from cuespan import constants as K
 from cuespan.functions import text as tx
 from cuespan.operators.intervals import first_k, stab
 from cuespan.operators.merging import merge_raw_events
-from cuespan.operators.ordered import gap_groups, has_within, lane, scan
+from cuespan.operators.ordered import gap_groups, lane, scan
+from cuespan.session import cut_lineage
 
 PART = ("session", "src")
 READ_CHUNK = 600.0
@@ -65,9 +66,11 @@ def settlement_spans(readings: DataFrame, width: float = READ_CHUNK) -> DataFram
     )
 
 
-def visible_readings(readings: DataFrame, width: float = READ_CHUNK) -> DataFrame:
+def visible_readings(
+    readings: DataFrame, width: float = READ_CHUNK, spans: DataFrame | None = None
+) -> DataFrame:
     """Readings in the band, plus off-band ones inside a settlement interval."""
-    spans = settlement_spans(readings, width)
+    spans = settlement_spans(readings, width) if spans is None else spans
     band = F.coalesce(in_region(K.INFO_BAND), F.lit(False))
     inside = readings.where(band).withColumn("off_band", F.lit(False))
     tracked = (
@@ -134,7 +137,9 @@ def _raw(df: DataFrame, kind: str, rank: int, detail: Column, **cols: Column) ->
 
 def raw_events(readings: DataFrame, width: float = READ_CHUNK) -> DataFrame:
     """Single detections per frame: downs, match starts, settlements, dances, pickups."""
-    vis = visible_readings(readings, width)
+    # the visible readings are the small part of all readings every rule below starts from
+    spans = cut_lineage(settlement_spans(readings, width))
+    vis = cut_lineage(visible_readings(readings, width, spans))
     txt = F.col("text")
     frame = W.partitionBy(*PART, "t")
     marked = vis.withColumn(
@@ -154,13 +159,13 @@ def raw_events(readings: DataFrame, width: float = READ_CHUNK) -> DataFrame:
     )
     return (
         downs.unionByName(starts)
-        .unionByName(_extracts(readings, vis))
+        .unionByName(_extracts(readings, vis, spans))
         .unionByName(dances)
         .unionByName(_pickups(vis, width))
     )
 
 
-def _extracts(readings: DataFrame, vis: DataFrame) -> DataFrame:
+def _extracts(readings: DataFrame, vis: DataFrame, spans: DataFrame) -> DataFrame:
     """Settlement hits with the frame's texts; a hit before tracking starts keeps one snapshot."""
     hits = vis.where(F.col("text").rlike(K.EXTRACT_TEXT))
     hit_frames = hits.select(*PART, "t").distinct()
@@ -179,7 +184,6 @@ def _extracts(readings: DataFrame, vis: DataFrame) -> DataFrame:
         .agg(F.min_by("text", "seq").alias("p"))
     )
     frames = hits.groupBy(*at_frame).agg(F.min("seq").alias("first_seq"))
-    spans = settlement_spans(readings)
     full = (
         stab(frames, spans, PART, "t", "lo", "hi", 60.0, open_hi=True)
         .where(F.col("t") > F.col("lo"))
@@ -251,7 +255,7 @@ def settlement_attributes(snapshot: Column) -> dict[str, Column]:
 
 def detect_events(readings: DataFrame, width: float = READ_CHUNK) -> DataFrame:
     """Readings to merged events with settlement attributes and visual prices."""
-    merged = merge_raw_events(raw_events(readings, width), width)
+    merged = merge_raw_events(cut_lineage(raw_events(readings, width)), width)
     attrs = settlement_attributes(F.col("snapshot"))
     is_extract = F.col("kind") == "extract"
     meta = F.struct(
@@ -374,8 +378,3 @@ def summarize(events: DataFrame) -> DataFrame:
         ),
     )
 
-
-__all__ = [
-    "apply_speech", "confirmed_increases", "container_reads", "detect_events", "has_within",
-    "raw_events", "settlement_attributes", "settlement_spans", "summarize", "visible_readings",
-]

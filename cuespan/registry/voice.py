@@ -74,10 +74,10 @@ def session_base(spark, sf):
     return b.select("src", *[F.round(c, 6).alias(c) for c in ("p40", "p50", "p85", "rate_med")])
 
 
-@query("window_signals", f"""WITH {WINS} SELECT src, win, round(hf, 5) AS host_frac, round(vol, 5) AS vol, round(burst, 5) AS burst, round(spd, 5) AS spd, round(emo_pm, 5) AS emo_pm, round(rep_pm, 5) AS rep_pm FROM ws""")
+@query("window_signals", f"""WITH {WINS} SELECT src, win, round(hf + 1e-7, 5) AS host_frac, round(vol + 1e-7, 5) AS vol, round(burst + 1e-7, 5) AS burst, round(spd + 1e-7, 5) AS spd, round(emo_pm + 1e-7, 5) AS emo_pm, round(rep_pm + 1e-7, 5) AS rep_pm FROM ws""")
 def window_signals(spark, sf):
     w = windows(spark, sf)
-    return w.select("src", "win", *[F.round(c, 5).alias(c) for c in ("host_frac", "vol", "burst", "spd", "emo_pm", "rep_pm")])
+    return w.select("src", "win", *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in ("host_frac", "vol", "burst", "spd", "emo_pm", "rep_pm")])
 
 
 def _rank(c):
@@ -86,11 +86,11 @@ def _rank(c):
 
 @query("window_hype", f"""WITH {WINS}, rf AS (SELECT * FROM (SELECT session, src, hf, round(vol, 9) AS vol, round(burst, 9) AS burst, round(spd, 9) AS spd, emo_pm, rep_pm, win FROM ws) WHERE hf > 0.5),
 w AS (SELECT session, src, hf, win, round(vol, 9) AS vol, round(burst, 9) AS burst, round(spd, 9) AS spd, emo_pm, rep_pm FROM ws)
-SELECT src, win, round(CASE WHEN hf > 0.5 THEN 0.35 * {_rank("vol")} + 0.15 * {_rank("burst")} + 0.2 * {_rank("spd")} + 0.2 * {_rank("emo_pm")} + 0.1 * {_rank("rep_pm")} ELSE 0.3 END, 5) AS hype FROM w""")
+SELECT src, win, round(CASE WHEN hf > 0.5 THEN 0.35 * {_rank("vol")} + 0.15 * {_rank("burst")} + 0.2 * {_rank("spd")} + 0.2 * {_rank("emo_pm")} + 0.1 * {_rank("rep_pm")} ELSE 0.3 END + 1e-7, 5) AS hype FROM w""")
 def window_hype(spark, sf):
     w = windows(spark, sf)
     w = cut_lineage(w.select(*[F.round(c, 9).alias(c) if c in ("vol", "burst", "spd") else F.col(c) for c in w.columns]))
-    return voice.hype(w).select("src", "win", F.round("hype", 5).alias("hype"))
+    return voice.hype(w).select("src", "win", F.round(F.col("hype") + 1e-7, 5).alias("hype"))
 
 
 @query("voice_segments")
@@ -128,7 +128,7 @@ def scored_orders(spark, sf):
         "o_custkey", "o_orderkey", F.col("o_totalprice").alias("peak_ratio"), F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 101).cast("double")).alias("burst"),
         *[none.alias(x) for x in ("pitch_up", "shout", "rate", "dense_sec", "emo_pm", "rep_pm")],
     )
-    s = voice.score_segments(c, ("o_custkey",))
+    s = voice.score_segments(c, ("o_custkey",), "o_orderkey")
     return s.select("o_orderkey", F.round("total", 4).alias("total"), "grade")
 
 
