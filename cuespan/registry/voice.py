@@ -117,7 +117,7 @@ def talk_chains(spark, sf):
 @query("scored_orders", """WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice AS v, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 101 AS DOUBLE) END AS b FROM orders),
 r AS (SELECT *, (SELECT count(*) FILTER (x.v < c.v) / CAST(count(*) AS DOUBLE) FROM c x WHERE x.o_custkey = c.o_custkey) AS rv,
   CASE WHEN b IS NULL THEN 0.5 ELSE (SELECT count(*) FILTER (x.b < c.b) / CAST(count(x.b) AS DOUBLE) FROM c x WHERE x.o_custkey = c.o_custkey) END AS rb FROM c),
-d AS (SELECT *, round(greatest(0.3, least(1, rv)), 3) AS dv, round(greatest(0.3, least(1, rb)), 3) AS db FROM r),
+d AS (SELECT *, round_even(greatest(0.3, least(1, rv)), 3) AS dv, round_even(greatest(0.3, least(1, rb)), 3) AS db FROM r),
 t AS (SELECT *, (0.3 * (dv + db) / 2 + 0.25 * 0.5 + 0.2 * 0.5 + 0.25 * 0.5) * 100 AS total FROM d)
 SELECT o_orderkey, round(total, 4) AS total, CASE WHEN total >= 78 THEN 'S' WHEN total >= 64 THEN 'A' WHEN total >= 48 THEN 'B' ELSE 'C' END AS grade FROM t""")
 def scored_orders(spark, sf):

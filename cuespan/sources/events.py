@@ -34,9 +34,15 @@ def weapon_names(col: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of event files: path, part_dir, pos (0-based), line, last."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
-    )
+    source = spark.read.text(path, wholetext=True)
+    files = source.select(F.col("_metadata.file_path").alias("path"), "value")
+    # Spark reads no rows from empty files, but an empty file is a result: 0 events. Its name comes
+    # from the listing Spark has already made (names only, one per part).
+    listed = spark.createDataFrame([(f,) for f in source.inputFiles()], "path string")
+    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+    empty = listed.join(files.select("path"), "path", "left_anti").withColumn("value", F.lit(""))
+    files = files.unionByName(empty)
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.btrim(x) != "")
     files = files.select("path", lines.alias("lines"))
     rows = files.select("path", F.size("lines").alias("n"), F.posexplode_outer("lines").alias("pos", "line"))
