@@ -34,8 +34,8 @@ def completeness(
     has_events = F.coalesce("has_events", F.lit(False))
     missing = F.array_compact(
         F.array(
-            F.when(F.col("asr_dir").isNull(), F.concat("filename", F.lit("：无 ASR 转写（先跑 toolbox asr）"))),
-            F.when(~has_events, F.concat("filename", F.lit("：无事件流（先跑 toolbox detect）"))),
+            F.when(F.col("asr_dir").isNull(), F.concat("filename", F.lit("：无 ASR 转写"))),
+            F.when(~has_events, F.concat("filename", F.lit("：无事件流"))),
         )
     )
     return rows.select(
