@@ -310,7 +310,9 @@ def loot_run(pool: DataFrame, sentences: DataFrame, cap: float = 12.0) -> DataFr
         *PART, "t_start", "t_end", "price", "voice_hint", "part_dir", "line_no",
         F.coalesce("price", F.lit(0)).alias("worth"),
     )
-    kept = keep_apart(loots, PART, "t_start", ["worth", "t_start", "part_dir", "line_no"], 30.0)
+    kept = cut_lineage(
+        keep_apart(loots, PART, "t_start", ["worth", "t_start", "part_dir", "line_no"], 30.0)
+    )
     placed = number_rows(
         kept.withColumn("__w", F.col("worth").cast("double")),
         lane(S, ("__w", "t_start", "part_dir", "line_no"), 10000.0), "pos",
@@ -328,9 +330,10 @@ def loot_run(pool: DataFrame, sentences: DataFrame, cap: float = 12.0) -> DataFr
         caption=F.concat(F.lit("本场搬砖合计 ≈ "), tx.in_wan(F.col("sum")).cast("string"), F.lit("万哈夫币")),
     )
     rows = number_rows(
-        _union([loot, out, card]).withColumn("__i", F.col("ins").cast("double")),
+        cut_lineage(_union([loot, out, card])).withColumn("__i", F.col("ins").cast("double")),
         lane(S, ("__i",), 1024.0), "seg",
     ).drop("__i")
+    rows = cut_lineage(rows)
     snapped = snap_windows(rows.where(F.col("card").isNull()), sentences)
     return snapped.unionByName(rows.where(F.col("card").isNotNull()), allowMissingColumns=True)
 

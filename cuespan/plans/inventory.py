@@ -205,8 +205,9 @@ def register(index: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     top = index.where(F.startswith("id", F.lit("v"))).agg(
         F.coalesce(F.max(F.expr("try_cast(substring(id, 2) as bigint)")), F.lit(0)).alias("top")
-    )
-    return numbered.crossJoin(F.broadcast(top)).select(
+    ).withColumn("__q", F.lit(0))
+    # one row by construction, so the broadcast cannot grow
+    return numbered.join(F.broadcast(top), "__q").select(
         F.format_string("v%03d", F.col("top") + F.col("k")).alias("id"), "source_path"
     )
 
