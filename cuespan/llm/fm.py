@@ -113,11 +113,12 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.w[at].sum()) + pairs, -35, 35))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int = 4, epochs: int = 40, rate: float = 0.2, decay: float = 2e-4, least_z: float = 6.0, least_docs: int = 3, seed: int = 7) -> Machine:
-    """Fit on a bounded sample by mini-batch AdaGrad on the log loss, both classes weighing the same.
+def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int = 4, epochs: int = 40, rate: float = 0.2, decay: float = 2e-4, least_z: float = 5.0, least_docs: int = 3, least_lift: float = 2.0, balance: float = 0.5, seed: int = 7) -> Machine:
+    """Fit on a bounded sample by mini-batch AdaGrad on the log loss. ``balance`` 0 weighs rows
+    alike, 1 classes.
 
-    Features that differ between the classes by under ``least_z`` standard errors, or that fewer than
-    ``least_docs`` texts have, are left out. Without both classes the score is the label's mean,
+    Features whose shares in the classes differ by under ``least_z`` standard errors or a factor under
+    ``least_lift``, or that fewer than ``least_docs`` texts have, are left out. Without both classes the score is the label's mean,
     without rows 0.5.
     """
     n = len(rows)
@@ -135,7 +136,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
     b = df - a
     p = (df + 1) / (n + 2)
     z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    take = (z >= least_z) & (df >= least_docs)
+    lift = np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
+    take = (z >= least_z) & (df >= least_docs) & (lift >= np.log(least_lift))
     ids, place = ids[take], np.cumsum(take) - 1
     ok = take[inv]
     col, row = place[inv[ok]], of[ok]
@@ -143,7 +145,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), rank)), 0.0
     gw, gv, gb = np.full(len(ids), 1e-3), np.full((len(ids), rank), 1e-3), 1e-3
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * n
+    weight = np.where(y > 0, 0.5 * n / n1, 0.5 * n / n0) ** balance
     for _ in range(epochs):
         order = rng.permutation(n)
         for k in range(0, n, 256):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, packing, rules
+from . import chat, fm, mixing, neardup, packing, rules, warc
 from .common import doc_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,5 +48,44 @@ def op5_adaptive_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op3_quality_machine, op5_adaptive_rules, op10_toxicity_machine)}
+def op2_pfair_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents").select("source", "doc_id", "text"), block=16_384).select("doc_id", "source", "block", "slot", "before")
+
+
+def op4_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """Every assistant turn is a call, the turn after it its result: words are counted, or the text looked up."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    said = F.coalesce("text", F.lit(""))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", name(F.col("turn")).alias("call_id"),
+        F.when(F.length(said) % 3 == 0, "count").when(F.length(said) % 3 == 1, "lookup").otherwise("rank").alias("tool"),
+        F.concat(F.lit('{"n": '), F.length(said).cast("string"), F.lit(' , "query":'), chat.quoted(said), F.lit(', "exact":'), (F.length(said) % 2 == 0).cast("string"), F.lit("}")).alias("arguments"),
+        F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("after"),
+    )
+    results = turns.where("role <> 'assistant' and turn > 0").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), "text")
+    schemas = spark.createDataFrame(
+        [("count", "n", "integer", True), ("count", "query", "string", True), ("count", "exact", "boolean", False),
+         ("lookup", "query", "string", True), ("lookup", "limit", "integer", True), ("lookup", "n", "number", False)], chat.SCHEMAS)
+    rows = chat.format_calls(calls, results, schemas)
+    return rows.select("conv_id", "call_id", "call_turn", "result_turn", "tool", "status", "depth", F.array_join("errors", "; ").alias("errors"), "canonical", "line")
+
+
+def op6_segmented_archives(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    folder = warc.write_archives(pages.select("page_id", "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")))
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_hyperplane_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sum_of_squares_packing, op2_pfair_mixing, op3_quality_machine, op4_tool_call_linking, op5_adaptive_rules, op6_segmented_archives,
+        op7_hyperplane_neighbours, op10_toxicity_machine,
+    )
+}
 ORACLE: dict[str, str] = {}

@@ -146,7 +146,7 @@ def within(get) -> Column:  # noqa: ANN001
 
 def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     cuts = cuts.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"max_{m}" for m in FLOORS])
-    return rows.join(cuts, rows["lang"].eqNullSafe(cuts["__lang"]) & rows["source"].eqNullSafe(cuts["__source"]), "left").drop("__lang", "__source")
+    return rows.join(cuts, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
 
 
 def judge(stats: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_good(docs: DataFrame, least_rows: int = 200, reach: float = 3.0) -> Dat
     cuts = cutoffs(sketch(text_stats(docs), ["lang", "source"]), least_rows, reach)
     rows = docs.withColumn("__counts", counts_of(F.col("text").cast("string")))
     get = lambda k: F.col(f"__counts.{k}")
-    return _with_cutoffs(rows, cuts).where(~base_failed(get) & within(get)).select(*[docs[c] for c in docs.columns])
+    return _with_cutoffs(rows, cuts).where(~base_failed(get) & within(get)).select(*docs.columns)
