@@ -108,3 +108,31 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 def one_thread() -> None:
     """Libraries in a task keep to the task's core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]):  # noqa: ANN201
+    """Tables of whole groups with the rows' group starts, from batches in which the rows of a group
+    follow one another. Only the group at the end of a batch waits for the next one."""
+    kept: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            v = table.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        table = pa.Table.from_batches(kept)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, at[-1]).combine_chunks(), at
+            kept = table.slice(at[-1]).to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        at = starts(table)
+        yield table, np.append(at, table.num_rows)

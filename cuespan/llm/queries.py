@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fm, mixing, neardup, packing, rules, warc
+from . import chat, fm, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
 from .common import doc_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,11 +81,19 @@ def op7_hyperplane_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "embeddings"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf, "documents"))
+
+
+def op9_count_tree_join(spark: SparkSession, sf: str) -> DataFrame:
+    return shinglejoin.shingle_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sum_of_squares_packing, op2_pfair_mixing, op3_quality_machine, op4_tool_call_linking, op5_adaptive_rules, op6_segmented_archives,
-        op7_hyperplane_neighbours, op10_toxicity_machine,
+        op7_hyperplane_neighbours, op8_pitman_yor, op9_count_tree_join, op10_toxicity_machine,
     )
 }
 ORACLE: dict[str, str] = {}
