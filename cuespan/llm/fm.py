@@ -117,7 +117,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
     """Fit on a bounded sample by mini-batch AdaGrad on the log loss. ``balance`` 0 weighs rows
     alike, 1 classes.
 
-    Features whose shares in the classes differ by under ``least_z`` standard errors or a factor under
+    Terms whose shares in the classes differ by under ``least_z`` standard errors or a factor under
     ``least_lift``, or that fewer than ``least_docs`` texts have, are left out. Without both classes the score is the label's mean,
     without rows 0.5.
     """
@@ -137,7 +137,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
     p = (df + 1) / (n + 2)
     z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     lift = np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
-    take = (z >= least_z) & (df >= least_docs) & (lift >= np.log(least_lift))
+    take = (df >= least_docs) & ((ids >= spec.buckets) | (z >= least_z) & (lift >= np.log(least_lift)))
     ids, place = ids[take], np.cumsum(take) - 1
     ok = take[inv]
     col, row = place[inv[ok]], of[ok]

@@ -133,19 +133,19 @@ def cutoffs(sketches: DataFrame, least_rows: int = 200, reach: float = 3.0) -> D
     joined = own.join(lang, ["l", "measure"], "left").join(fences([], "of_all"), "measure", "left")
     floor = F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
     cut = F.greatest(floor, F.coalesce("own", "of_lang", "of_all"))
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, cut)).alias(f"max_{m}") for m in FLOORS])
+    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, cut)).alias(f"__max_{m}") for m in FLOORS])
 
 
 def within(get) -> Column:  # noqa: ANN001
     """Every measure is at most its cutoff; a bucket's width counts as equal."""
     ok = F.lit(True)
     for k, v in measures(get).items():
-        ok = ok & (v <= F.col(f"max_{k}") * GAMMA)
+        ok = ok & (v <= F.col(f"__max_{k}") * GAMMA)
     return ok
 
 
 def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    cuts = cuts.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"max_{m}" for m in FLOORS])
+    cuts = cuts.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"__max_{m}" for m in FLOORS])
     return rows.join(cuts, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
 
 

@@ -306,5 +306,5 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of near duplicates; rows that link with nothing all stay."""
-    rest = shingle_groups(docs).where("kept").select("row")
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(rest, "row", "left_semi").select(*docs.columns)
+    rest = shingle_groups(docs).where("kept").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(rest, "__row", "left_semi").select(*docs.columns)
