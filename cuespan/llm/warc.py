@@ -73,7 +73,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, segment: int = 8192,
 
     Equal payloads are found by digest on thin rows, combined before the shuffle, and only revisits go
     back to the wide rows, by row. Archives are Spark text files (gzip) whose line end is the end of
-    a record. An empty table gives archives without records.
+    a record. ``pages`` should be a table in storage: rows are matched by scan position. Equal rows
+    are records of their own. An empty table gives archives without records.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("row"))
