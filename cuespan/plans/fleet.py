@@ -4,43 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan import constants as K
 
-LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([A-Z]+) (\S+)[^"]*" (\d{3})'
-LOCATION = "/eval/clients/"
-
 
 def parse_access(lines: DataFrame) -> DataFrame:
     """Access-log lines (value) to ip, day, path, build, os, install; ``bad`` marks others."""
     v = F.col("value")
-    path = F.regexp_extract(v, LINE, 4)
+    path = F.regexp_extract(v, K.ACCESS_LINE, 4)
 
     def param(name: str, pattern: str) -> Column:
         return F.nullif(F.regexp_extract(path, f"[?&]{name}=({pattern})", 1), F.lit(""))
 
-    stamp = F.regexp_extract(F.regexp_extract(v, LINE, 2), r"^(\d{1,2}/[A-Za-z]{3}/\d{4})", 1)
-    ok = v.rlike(LINE)
+    stamp = F.regexp_extract(F.regexp_extract(v, K.ACCESS_LINE, 2), r"^(\d{1,2}/[A-Za-z]{3}/\d{4})", 1)
+    ok = v.rlike(K.ACCESS_LINE)
     return lines.select(
         (~ok).alias("bad"),
-        F.regexp_extract(v, LINE, 1).alias("ip"),
+        F.regexp_extract(v, K.ACCESS_LINE, 1).alias("ip"),
         F.try_to_timestamp(stamp, F.lit("d/MMM/yyyy")).cast("date").alias("day"),
         path.alias("path"),
-        F.coalesce(param("build", "[A-Za-z0-9._-]{1,32}"), F.lit("unknown")).alias("build"),
-        param("os", "[A-Za-z]{2,10}").alias("os"),
-        param("install", "[A-Za-z0-9]{8,64}").alias("install"),
+        F.coalesce(param("build", K.BUILD_PARAM), F.lit("unknown")).alias("build"),
+        param("os", K.OS_PARAM).alias("os"),
+        param("install", K.INSTALL_PARAM).alias("install"),
     )
 
 
 def client_hits(parsed: DataFrame) -> DataFrame:
-    return parsed.where(~F.col("bad") & F.contains("path", F.lit(LOCATION)))
+    return parsed.where(~F.col("bad") & F.contains("path", F.lit(K.ACCESS_LOCATION)))
 
 
 def line_counts(parsed: DataFrame) -> DataFrame:
-    hit = ~F.col("bad") & F.contains("path", F.lit(LOCATION))
+    hit = ~F.col("bad") & F.contains("path", F.lit(K.ACCESS_LOCATION))
     return parsed.agg(F.count_if(hit).alias("total"), F.count_if(F.col("bad")).alias("bad"))
 
 
@@ -103,33 +101,28 @@ def layered(rows: DataFrame, keys: list[str], layer: str, values: list[str]) ->
 
 # --- pipeline progress --------------------------------------------------------------------------
 
-_BODY = r"^\[pipeline\]\s*(.*)$"
-_SHARD = r"^(.{1,64}?\.mp4)："
 
+def parse_progress(lines: DataFrame, name_length: int | None = None) -> DataFrame:
+    """Log lines (session, ts, line) to marks: skip, start, done, parts, detected, knocked, end.
 
-def parse_progress(lines: DataFrame) -> DataFrame:
-    """Log lines (session, ts, line) to marks: skip, start, done, parts, detected, knocked, end."""
+    Lines of one second share ``ts``; a ``line_no`` column, if there is one, says which came first. A part is
+    known by its whole name, or by its first ``name_length`` characters.
+    """
     s = F.btrim("line")
-    body = F.when(s.rlike(_BODY), F.btrim(F.regexp_extract(s, _BODY, 1))).otherwise(s)
+    body = F.when(s.rlike(K.PIPELINE_LINE), F.btrim(F.regexp_extract(s, K.PIPELINE_LINE, 1))).otherwise(s)
     stages = "|".join(K.STAGES)
-    skip = rf"^-- 跳过 ({stages})$"
-    start, done = rf"^({stages}) 开始", rf"^({stages}) 完成"
-    parts = r"^场次：(.+?)，(\d+) 个分片"
-    det, kd = _SHARD + "(检测完成|复用事件流)", _SHARD + r"\d+ 粗簇"
-    mark = (
-        F.when(body.rlike(skip), "skip").when(body.rlike(start), "start").when(body.rlike(done), "done")
-        .when(body.rlike(parts), "parts").when(body.rlike(det), "detected")
-        .when(body.rlike(kd), "knocked").when(F.startswith(body, F.lit("全链完成")), "end")
-    )
-    stage = (
-        F.when(body.rlike(skip), F.regexp_extract(body, skip, 1))
-        .when(body.rlike(start), F.regexp_extract(body, start, 1))
-        .when(body.rlike(done), F.regexp_extract(body, done, 1))
-    )
-    shard = F.when(body.rlike(det) | body.rlike(kd), F.substring(F.regexp_extract(body, _SHARD, 1), 1, 36))
-    n = F.when(body.rlike(parts), F.regexp_extract(body, parts, 2).try_cast("int"))
+    of_stage = {m: p.replace("STAGE", stages) for m, p in (("skip", K.SKIP_MARK), ("start", K.START_MARK), ("done", K.DONE_MARK))}
+    of_part = {"detected": K.DETECTED_MARK, "knocked": K.KNOCKED_MARK}
+    marks = [*of_stage.items(), ("parts", K.PARTS_MARK), *of_part.items()]
+    mark = F.coalesce(*[F.when(body.rlike(p), m) for m, p in marks], F.when(F.startswith(body, F.lit(K.END_MARK)), "end"))
+    stage = F.coalesce(*[F.when(body.rlike(p), F.regexp_extract(body, p, 1)) for p in of_stage.values()])
+    shard = F.coalesce(*[F.when(body.rlike(p), F.regexp_extract(body, p, 1)) for p in of_part.values()])
+    if name_length is not None:
+        shard = F.substring(shard, 1, name_length)
+    n = F.when(body.rlike(K.PARTS_MARK), F.regexp_extract(body, K.PARTS_MARK, 2).try_cast("int"))
+    line_no = F.col("line_no").cast("long") if "line_no" in lines.columns else F.lit(0).cast("long")
     return lines.select(
-        "session", "ts", mark.alias("mark"), stage.alias("stage"), shard.alias("shard"), n.alias("n")
+        "session", "ts", line_no.alias("line_no"), mark.alias("mark"), stage.alias("stage"), shard.alias("shard"), n.alias("n")
     ).where(F.col("mark").isNotNull())
 
 
@@ -137,7 +130,7 @@ def stage_states(marks: DataFrame) -> DataFrame:
     """Latest state per session and stage."""
     rows = marks.where(F.col("stage").isNotNull())
     return rows.groupBy("session", "stage").agg(
-        F.max_by("mark", "ts").alias("state"), F.max("ts").alias("ts")
+        F.max_by("mark", F.struct("ts", "line_no")).alias("state"), F.max("ts").alias("ts")
     )
 
 
@@ -165,13 +158,14 @@ def progress(marks: DataFrame, durations: DataFrame | None = None, by_duration:
         F.sum(F.when(finished, weight).otherwise(0.0)).alias("frac"),
         F.min_by("stage", F.when(F.col("state") == "start", order)).alias("first_running"),
     )
+    at = F.struct("ts", "line_no")
     counts = marks.groupBy("session").agg(
-        F.max_by("n", F.when(F.col("mark") == "parts", F.col("ts"))).alias("parts"),
+        F.max_by("n", F.when(F.col("mark") == "parts", at)).alias("parts"),
         F.count_distinct(F.when(F.col("mark") == "detected", F.col("shard"))).alias("det"),
         F.count_distinct(F.when(F.col("mark") == "knocked", F.col("shard"))).alias("kd"),
         F.max(F.col("mark") == "end").alias("ended"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last"),
         F.max_by(
-            F.struct("mark", "stage"), F.when(F.col("mark").isin("start", "done"), F.col("ts"))
+            F.struct("mark", "stage"), F.when(F.col("mark").isin("start", "done"), at)
         ).alias("latest"),
     )
     rows = counts.join(per, "session", "left")
@@ -181,7 +175,7 @@ def progress(marks: DataFrame, durations: DataFrame | None = None, by_duration:
     rows = rows.withColumn("cur", cur)
     share = F.least(F.lit(1.0), F.col("det") / F.col("parts"))
     if by_duration and durations is not None:
-        d = durations.select("session", F.substring("filename", 1, 36).alias("shard"), "duration_s")
+        d = durations.select("session", F.col("filename").alias("shard"), "duration_s")
         total = d.groupBy("session").agg(F.sum("duration_s").alias("all_s"))
         seen = marks.where(F.col("mark") == "detected").select("session", "shard").distinct()
         got = d.join(seen, ["session", "shard"]).groupBy("session").agg(F.sum("duration_s").alias("done_s"))
@@ -222,27 +216,26 @@ def outcome(history: DataFrame, timeout_sec: float = 3600.0) -> DataFrame:
 def repair_mojibake(lines: DataFrame, column: str = "line") -> DataFrame:
     """Undo GBK text read as UTF-8 where that gives more Chinese characters.
 
-    Spark has no GBK codec, so the bytes are re-read in an Arrow batch.
+    A line of plain ASCII reads the same in both and never leaves the JVM. The others meet the
+    codec, which Spark lacks, as whole Arrow columns. Lost characters show as a square.
     """
-    @F.pandas_udf("string")
-    def reread(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> str | None:
-            if x is None:
-                return None
-            raw = x.encode("utf-8", "replace").replace("�".encode(), b"\x00")
-            return raw.decode("gbk", "replace").replace("\x00", "□")
-
-        return s.map(one)
-
-    def cjk(c: Column) -> Column:
-        return F.length(F.regexp_replace(c, "[^一-鿿]", ""))
-
-    orig = F.replace(F.col(column), F.lit("�"), F.lit("□"))
-    out = lines.withColumn("__re", reread(F.col(column)))
-    fixed = F.when(F.btrim(column) == "", F.col(column)).when(
-        cjk(F.col("__re")) > cjk(orig), F.col("__re")
-    ).otherwise(orig)
-    return out.withColumn(column, fixed).drop("__re")
+    text = F.col(column)
+    foreign = F.coalesce(text.rlike(r"[^\x00-\x7F]"), F.lit(False))
+    lost = "\ufffd"
+
+    def in_gbk(column: pa.Array) -> pa.Array:
+        marked = pc.replace_substring(column, lost, "\0")  # a byte that is the same in both codes
+        read = pa.array([b.decode("gbk", "replace") for b in marked.cast(pa.binary()).to_pylist()], pa.string())
+        return pc.replace_substring(read, "\0", K.LOST_CHARACTER)
+
+    def chinese(c: Column) -> Column:
+        return F.length(c) - F.length(F.regexp_replace(c, "[一-鿿]", ""))
+
+    shown = F.replace(text, F.lit(lost), F.lit(K.LOST_CHARACTER))
+    odd = lines.where(foreign).withColumn("__gbk", F.arrow_udf(in_gbk, "string")(text))
+    better = (F.btrim(text) != "") & (chinese(F.col("__gbk")) > chinese(shown))
+    mended = odd.withColumn(column, F.when(F.btrim(text) == "", text).when(better, F.col("__gbk")).otherwise(shown)).drop("__gbk")
+    return lines.where(~foreign).unionByName(mended)
 
 
 def log_tail(lines: DataFrame, keys: list[str], pos: str, limit: int = 512 * 1024) -> DataFrame:

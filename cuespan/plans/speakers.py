@@ -72,7 +72,7 @@ def _cluster_small(threshold: float):
 
 
 def cluster(
-    vectors: DataFrame, threshold: float = 0.65, block: int = BLOCK, max_rounds: int = 1000
+    vectors: DataFrame, threshold: float = 0.65, block: int = BLOCK
 ) -> DataFrame:
     """Average-linkage clusters of vectors (grp, id, vec) below a cosine distance threshold.
 
@@ -99,13 +99,13 @@ def cluster(
     if large.isEmpty():
         return out
     big = unit.join(large, "grp", "left_semi")
-    return out.unionByName(_cluster_large(big, threshold, block, max_rounds))
+    return out.unionByName(_cluster_large(big, threshold, block))
 
 
-def _cluster_large(unit: DataFrame, threshold: float, block: int, max_rounds: int) -> DataFrame:
+def _cluster_large(unit: DataFrame, threshold: float, block: int) -> DataFrame:
     state = cut_lineage(unit.withColumn("size", F.lit(1).cast("long")))
     member = unit.select("grp", F.col("cid").alias("id"), "cid")
-    for _ in range(max_rounds):
+    while True:  # every round merges at least one pair
         pairs = cut_lineage(mutual_pairs(state, threshold, block))
         if pairs.isEmpty():
             return member.select("grp", "id", F.col("cid").alias("cluster"))
@@ -127,7 +127,6 @@ def _cluster_large(unit: DataFrame, threshold: float, block: int, max_rounds: in
                 "grp", "id", F.coalesce("__to", "cid").alias("cid")
             )
         )
-    raise RuntimeError("clusters still merge after the given number of rounds")
 
 
 def mutual_pairs(state: DataFrame, threshold: float, block: int) -> DataFrame:

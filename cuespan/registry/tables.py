@@ -201,7 +201,7 @@ RD = """rd AS (
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as spoken sentences, one a minute, with some exclamations added."""
+    """Conversation turns as spoken sentences, 80 characters a second, with some exclamations added."""
     c = table(spark, sf, "conversations")
     n, conv = F.length("text"), F.col("conv_id")
     extra = F.concat(
@@ -209,18 +209,18 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 4 == 0, "卧槽").otherwise(""),
     )
     start = F.col("turn") * 20.0 + (conv % 5) * 0.5
-    short = F.when(n % 7 == 0, F.concat(F.lit("出金"), F.substring("text", 1, 20))).otherwise(F.concat("text", extra))
+    said = F.when(n % 7 == 0, F.concat(F.lit("出金"), "text")).otherwise(F.concat("text", extra))
     return c.select(
         F.concat(F.lit("s"), (conv % SESSIONS).cast("string")).alias("session"),
         F.concat(F.lit("u"), conv.cast("string")).alias("src"), F.col("turn").cast("int").alias("id"),
-        start.alias("start"), (start + F.least(n, F.lit(380)) / 20.0).alias("end"), short.alias("text"),
+        start.alias("start"), (start + n / 80.0).alias("end"), said.alias("text"),
         F.when(F.col("role") == "user", "host").when(F.col("role") == "assistant", "other").alias("speaker"),
     )
 
 
 SE = """se AS (
-  SELECT session, src, id, start, start + least(n, 380) / CAST(20 AS DOUBLE) AS "end", speaker,
-    CASE WHEN n % 7 = 0 THEN '出金' || substring(raw, 1, 20)
+  SELECT session, src, id, start, start + n / CAST(80 AS DOUBLE) AS "end", speaker,
+    CASE WHEN n % 7 = 0 THEN '出金' || raw
       ELSE raw || CASE WHEN n % 3 = 0 THEN '啊啊啊啊' ELSE '' END || CASE WHEN n % 5 = 0 THEN '牛牛' ELSE '' END
         || CASE WHEN n % 4 = 0 THEN '卧槽' ELSE '' END END AS text
   FROM (
@@ -236,7 +236,7 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audio(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarter-second loudness and pitch over the length of each conversation."""
+    """Quarter-second loudness and pitch over the length of each conversation; the values are made up by rule."""
     d = durations(spark, sf).withColumn("c", F.expr("cast(substring(src, 2) as bigint)"))
     bins = d.select(
         "session", "src", "c",

@@ -171,7 +171,8 @@ def dominant_label(spark, sf):
 def labelled_speakers(spark, sf):
     s = T.sentences(spark, sf)
     v = T.table(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
-    rows = s.withColumn("vec_id", F.expr("(cast(substring(src, 2) as bigint) * 7 + id) % 500")).join(v, "vec_id")
+    n = v.count()  # ids are 0 to n - 1
+    rows = s.withColumn("vec_id", (F.expr("cast(substring(src, 2) as bigint)") * 7 + F.col("id")) % n).join(v, "vec_id")
     return speakers.label_speakers(s, rows.select("session", "src", "id", "embedding"))
 
 

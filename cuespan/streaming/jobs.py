@@ -53,53 +53,62 @@ def stalls(growth: DataFrame, stall_sec: float = 20.0, width: float = 3600.0) ->
 
 
 class _StallWatch(StatefulProcessor):
-    """Last size and last growth per source; a timer fires when nothing grew in time."""
+    """Stalls of one source. The latest growth is carried over as the row ahead of a batch; growth rows
+    and the distance of the others to them come from shifted columns. A timer tells of a source that sends no more rows."""
 
-    stall_ms = 20_000
+    def __init__(self, stall_sec: float) -> None:
+        self._limit = int(stall_sec * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("growth", "size long, grew_ms long, told boolean")
 
+    def _stalls(self, key: tuple, grew: list, at: list) -> pd.DataFrame:
+        return pd.DataFrame({"src": [key[0]] * len(grew), "grew": [g / 1000.0 for g in grew], "stalled_at": [t / 1000.0 for t in at]})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = self._state.get() if self._state.exists() else None
-        size, grew, told = got if got is not None else (None, None, False)
-        out = []
-        pdf = pd.concat(list(rows)).sort_values("ts")
-        for ts, now in zip(pdf["ts"], pdf["size"]):
-            ms = int(ts.timestamp() * 1000)
-            if size is None or int(now) != size:
-                size, grew, told = int(now), ms, False
-            elif ms - grew > self.stall_ms and not told:
-                out.append((key[0], grew / 1000.0, ms / 1000.0))
-                told = True
-        self._state.update((size, grew, told))
+        fed = pd.concat(list(rows)).sort_values("ts")
+        table = pd.DataFrame({"ms": (fed["ts"].astype("int64") // (10 ** 6 if fed["ts"].dt.unit == "ns" else 10 ** 3)).to_numpy(), "size": fed["size"].to_numpy()})
+        told_of = None
+        if self._state.exists():
+            size, grew, told = self._state.get()
+            table = pd.concat([pd.DataFrame({"ms": [grew], "size": [size]}), table], ignore_index=True)
+            told_of = grew if told else None
+        grown = table["size"].ne(table["size"].shift())
+        table["grew"] = table["ms"].where(grown).ffill().astype("int64")
+        quiet = table[~grown & (table["ms"] - table["grew"] > self._limit)]
+        first = quiet.groupby("grew")["ms"].min()
+        first = first[first.index != told_of] if told_of is not None else first
+        last = table.iloc[-1]
+        known = bool(last["grew"] in first.index or last["grew"] == told_of)
+        self._state.update((int(last["size"]), int(last["grew"]), known))
         for old in list(self._handle.listTimers()):
             self._handle.deleteTimer(old)
-        if not told:
-            self._handle.registerTimer(grew + self.stall_ms + 1)
-        yield pd.DataFrame(out, columns=["src", "grew", "stalled_at"])
+        if not known:
+            self._handle.registerTimer(int(last["grew"]) + self._limit + 1)
+        yield self._stalls(key, first.index.tolist(), first.tolist())
 
     def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
         size, grew, told = self._state.get()
-        out = []
-        at = expired.getExpiryTimeInMs()
-        if not told and at - grew > self.stall_ms:
-            out.append((key[0], grew / 1000.0, at / 1000.0))
+        due = not told and expired.getExpiryTimeInMs() > grew + self._limit
+        if due:
             self._state.update((size, grew, True))
-        yield pd.DataFrame(out, columns=["src", "grew", "stalled_at"])
+        yield self._stalls(key, [grew] * due, [expired.getExpiryTimeInMs()] * due)
 
     def close(self) -> None:
         pass
 
 
-def streaming_stalls(growth: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Stalls of a stream of file sizes; needs the RocksDB state store provider."""
+def streaming_stalls(growth: DataFrame, late: str = "10 seconds", stall_sec: float = 20.0) -> DataFrame:
+    """Stalls of a stream of file sizes; needs the RocksDB state store provider.
+
+    As the batch twin, a stall is told at the first later row; without one, when the watermark passes it.
+    """
     return (
         growth.withWatermark("ts", late)
         .groupBy("src")
         .transformWithStateInPandas(
-            _StallWatch(), "src string, grew double, stalled_at double", "Append", "EventTime"
+            _StallWatch(stall_sec), "src string, grew double, stalled_at double", "Append", "EventTime"
         )
     )
 
