@@ -201,7 +201,7 @@ RD = """rd AS (
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as spoken sentences, 80 characters a second, with some exclamations added."""
+    """Conversation turns as spoken sentences, 50 characters a second, with some exclamations added."""
     c = table(spark, sf, "conversations")
     n, conv = F.length("text"), F.col("conv_id")
     extra = F.concat(
@@ -213,13 +213,13 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.concat(F.lit("s"), (conv % SESSIONS).cast("string")).alias("session"),
         F.concat(F.lit("u"), conv.cast("string")).alias("src"), F.col("turn").cast("int").alias("id"),
-        start.alias("start"), (start + n / 80.0).alias("end"), said.alias("text"),
+        start.alias("start"), (start + n / 50.0).alias("end"), said.alias("text"),
         F.when(F.col("role") == "user", "host").when(F.col("role") == "assistant", "other").alias("speaker"),
     )
 
 
 SE = """se AS (
-  SELECT session, src, id, start, start + n / CAST(80 AS DOUBLE) AS "end", speaker,
+  SELECT session, src, id, start, start + n / CAST(50 AS DOUBLE) AS "end", speaker,
     CASE WHEN n % 7 = 0 THEN '出金' || raw
       ELSE raw || CASE WHEN n % 3 = 0 THEN '啊啊啊啊' ELSE '' END || CASE WHEN n % 5 = 0 THEN '牛牛' ELSE '' END
         || CASE WHEN n % 4 = 0 THEN '卧槽' ELSE '' END END AS text
