@@ -274,7 +274,8 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = cand.groupBy("cand").agg(F.count(F.lit(1)).alias("m"))
     who = staged(cand.join(size, "cand").join(classes.select("cls", "row"), "cls").withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / block)).cast("int")), "candidates")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    full = staged(who.join(texts, "row").select("cand", "m", "blk", "cls", "text"), "candidate-texts")
+    # one plan at every size: the candidates grow with the corpus, so they are never broadcast
+    full = staged(who.hint("merge").join(texts, "row").select("cand", "m", "blk", "cls", "text"), "candidate-texts")
     first = full.where(F.col("m") > block).groupBy("cand", "blk").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "m")).alias("top"))
     chosen = first.where(F.col("blk") < hubs).select("cand", F.col("blk").alias("home"), F.col("top.cls").alias("cls"), F.ceil(F.col("top.m") / block).cast("int").alias("n"))
     spread = chosen.join(full.select("cls", "text"), "cls").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("blk <> home")
@@ -306,5 +307,5 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of near duplicates; rows that link with nothing all stay."""
-    rest = shingle_groups(docs).where("kept").select(F.col("row").alias("__row"))
+    rest = shingle_groups(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(rest, "__row", "left_semi").select(*docs.columns)
