@@ -1,16 +1,16 @@
 """Merging of repeated detections, and greedy picks, on islands that cannot affect each other.
 
-These rules carry state from row to row in a way window functions cannot express. Rows are first
-cut into islands across which the rule provably has no effect (with the skew-proof gap grouping),
-so a task gets one short stretch of one source, never a whole source.
+Rows are first cut into islands across which a rule provably has no effect (with the skew-proof gap
+grouping), so a task gets one short stretch of one source, never a whole source.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuespan.functions.fuzzy import same_target
 from cuespan.operators.intervals import merge_spans
 from cuespan.operators.ordered import gap_groups, lane, scan
 
@@ -19,13 +19,6 @@ MERGE_GAP = 2.5
 START_GAP = 20.0
 SNAPSHOT_CAP = 40
 
-_MERGED = (
-    "session string, src string, kind string, t_start double, t_end double, detail string, "
-    "confidence double, target string, text string, point string, snapshot array<string>, "
-    "container string, prev int, cur int, context array<string>, price long, price_source string"
-)
-
-
 def one_edit(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False
@@ -52,80 +45,87 @@ def alike(a: str, b: str) -> bool:
     return one_edit(a, b) or a in b or b in a or skeleton
 
 
-def _merge_island(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["t", "rank", "ord_t", "ord_seq"], kind="stable")
-    events: list[dict] = []
-    recent_downs: list[dict] = []
-    for row in pdf.to_dict("records"):
-        t, kind = row["t"], row["kind"]
-        if kind == "down":
-            recent_downs = [e for e in recent_downs if e["t_start"] >= t - LOOK_BACK]
-            known = next(
-                (e for e in reversed(recent_downs) if alike(e["target"] or "", row["target"] or "")),
-                None,
+_ORDER = ("t", "rank", "ord_t", "ord_seq")
+_FIELDS = ("target", "text", "point", "container", "prev", "cur", "context", "price", "price_source")
+
+
+def _down_events(downs: DataFrame, width: float) -> DataFrame:
+    """Every down with ``event``: the order key of the sighting that it belongs to.
+
+    Downs over LOOK_BACK apart can't meet, so each stretch between such pauses is decided alone, in the JVM:
+    a look-back over the sightings of the last seconds, whose name follows their surest reading.
+    """
+    keys = ("session", "src")
+    rows = gap_groups(downs, lane(keys, _ORDER, width), LOOK_BACK, "stretch")
+    name = F.coalesce("target", F.lit(""))
+    brief = F.struct(*_ORDER, F.col("conf").alias("sure"), name.alias("name"))
+    lists = rows.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(brief)).alias("seen"))
+    sighting = "struct<at:int,since:double,sure:double,name:string>"
+    start = F.struct(F.array().cast(f"array<{sighting}>").alias("live"), F.array().cast("array<int>").alias("owner"))
+
+    def look_back(state: Column, row: Column) -> Column:
+        live = F.filter(state["live"], lambda e: e["since"] >= row["t"] - LOOK_BACK)
+        own = F.get(F.reverse(F.filter(live, lambda e: same_target(e["name"], row["name"]))), F.lit(0))
+        at = F.coalesce(own["at"], F.size(state["owner"]))
+
+        def surer(e: Column) -> Column:
+            better = (e["at"] == at) & (row["sure"] > e["sure"])
+            return F.struct(
+                e["at"].alias("at"), e["since"].alias("since"), F.when(better, row["sure"]).otherwise(e["sure"]).alias("sure"),
+                F.when(better, row["name"]).otherwise(e["name"]).alias("name"),
             )
-            if known is not None:
-                if row["conf"] > known["confidence"]:
-                    known.update(
-                        detail=row["detail"], target=row["target"], text=row["text"],
-                        confidence=row["conf"],
-                    )
-                known["t_end"] = t
-                continue
-        elif events:
-            tail = events[-1]
-            gap = START_GAP if kind == "match_start" else MERGE_GAP
-            if (
-                tail["kind"] == kind
-                and t - tail["t_end"] <= gap
-                and tail["detail"] == row["detail"]
-            ):
-                if kind == "extract":
-                    have = _texts(tail["snapshot"])
-                    fresh = [x for x in _texts(row["snapshot"]) if x not in set(have)]
-                    tail["snapshot"] = (have + fresh)[:SNAPSHOT_CAP]
-                tail["t_end"] = t
-                tail["confidence"] = max(tail["confidence"], row["conf"])
-                continue
-        event = {**row, "t_start": t, "t_end": t, "confidence": row["conf"]}
-        events.append(event)
-        if kind == "down":
-            recent_downs.append(event)
-    names = [c.split(" ")[0] for c in _MERGED.split(", ")]
-    out = pd.DataFrame(events, columns=names)
-    for c in ("prev", "cur", "price"):
-        out[c] = out[c].astype("Int64")
-    return out
-
-
-def _texts(value) -> list[str]:
-    return [] if value is None else list(value)
-
-
-def merge_raw_events(raw: DataFrame, width: float = 600.0) -> DataFrame:
+
+        opened = F.struct(at.alias("at"), row["t"].alias("since"), row["sure"].alias("sure"), row["name"].alias("name"))
+        kept = F.when(own.isNull(), F.concat(live, F.array(opened))).otherwise(F.transform(live, surer))
+        return F.struct(kept.alias("live"), F.concat(state["owner"], F.array(at)).alias("owner"))
+
+    owner = F.aggregate("seen", start, look_back, lambda s: s["owner"])
+    pairs = F.transform("seen", lambda r, i: F.struct(*[r[c].alias(c) for c in _ORDER], i.alias("i")))
+    named = lists.withColumn("owner", owner).withColumn("pair", F.explode(pairs))
+    key_of = F.struct(*[F.get("seen", F.get("owner", F.col("pair.i")))[c].alias(c) for c in _ORDER])
+    named = named.select(*keys, *[F.col(f"pair.{c}").alias(c) for c in _ORDER], key_of.alias("event"))
+    return rows.drop("stretch").join(named, [*keys, *_ORDER])
+
+
+def merge_raw_events(raw: DataFrame, width: float = 600.0, snapshot_cap: int = SNAPSHOT_CAP) -> DataFrame:
     """Fold repeated raw detections of one source into events.
 
-    A down joins the latest similar down that began at most 4 s before; any other kind joins only
-    the event directly before it. Nothing reaches over a pause of 20 s, nor over one of 4 s unless
-    the row after it is a match start, so those pauses cut the source into islands.
+    A down joins the latest similar down that began at most LOOK_BACK seconds before; the event takes
+    its words from the surest reading. Any other kind joins the event directly before it, if that has the
+    same kind and detail and ended in time: a run that another kind, another detail, a pause or a first
+    sighting of a down breaks. Order keys are unique within a source.
     """
     keys = ("session", "src")
-    order = ("t", "rank", "ord_t", "ord_seq")
-    ln = lane(keys, order, width)
-    dt = F.col("t") - F.col("__pt")
-    opens = F.when(
-        F.col("__pt").isNull()
-        | (dt > START_GAP)
-        | ((dt > LOOK_BACK) & (F.col("kind") != "match_start")),
-        1,
-    ).otherwise(0)
-    flagged = scan(raw, ln, prev={"__pt": F.col("t")}).withColumn("__opens", opens)
-    islands = scan(flagged, ln, running={"island": F.col("__opens").cast("long")})
-    return (
-        islands.drop("__pt", "__opens")
-        .groupBy(*keys, "island")
-        .applyInPandas(_merge_island, _MERGED)
+    order = F.struct(*_ORDER)
+    downs = _down_events(raw.where("kind = 'down'"), width).withColumn("key", order)
+    surest = F.struct("conf", *[(-F.col(c)).alias(c) for c in _ORDER])
+    down_events = downs.groupBy(*keys, "event").agg(
+        F.first("kind").alias("kind"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.max_by("detail", surest).alias("detail"),
+        F.max("conf").alias("confidence"), F.max_by("target", surest).alias("target"), F.max_by("text", surest).alias("text"),
+        *[F.min_by(c, "key").alias(c) for c in ("snapshot", *_FIELDS[2:])],
+    )
+    # runs of the others; a down matters to them only where it is a sighting of its own
+    others = raw.where("kind <> 'down'").unionByName(downs.where(F.col("event") == F.col("key")).select(*raw.columns))
+    ln = lane(keys, _ORDER, width)
+    seq = scan(others, ln, prev={"__before": F.struct("kind", "detail", "t")})
+    gap = F.when(F.col("kind") == "match_start", START_GAP).otherwise(MERGE_GAP)
+    same = F.col("__before.kind").eqNullSafe(F.col("kind")) & F.col("__before.detail").eqNullSafe(F.col("detail"))
+    goes_on = F.coalesce(same & (F.col("t") - F.col("__before.t") <= gap), F.lit(False))
+    seq = scan(seq.withColumn("__opens", (~goes_on).cast("long")), ln, running={"event": F.col("__opens")})
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("key"), "snapshot"))), lambda x: F.coalesce(x["snapshot"], F.array().cast("array<string>")))
+    runs = seq.where("kind <> 'down'").withColumn("key", order).groupBy(*keys, "event").agg(
+        F.first("kind").alias("kind"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min_by("detail", "key").alias("detail"),
+        F.max("conf").alias("confidence"), F.count(F.lit(1)).alias("__n"), texts.alias("__texts"),
+        *[F.min_by(c, "key").alias(c) for c in ("snapshot", *_FIELDS)],
+    )
+    joined = F.aggregate(
+        F.slice("__texts", 2, F.greatest(F.size("__texts") - 1, F.lit(0))), F.get("__texts", F.lit(0)),
+        lambda have, more: F.slice(F.concat(have, F.filter(more, lambda x: ~F.array_contains(have, x))), 1, snapshot_cap),
     )
+    merged = (F.col("kind") == "extract") & (F.col("__n") > 1)
+    runs = runs.withColumn("snapshot", F.when(merged, joined).otherwise(F.col("snapshot")))
+    names = [*keys, "kind", "t_start", "t_end", "detail", "confidence", "target", "text", "point", "snapshot", *_FIELDS[3:]]
+    return down_events.select(*names).unionByName(runs.select(*names))
 
 
 def keep_apart(
