@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
+_LANE = "__lane"
 
 
 @dataclass(frozen=True)
@@ -50,17 +51,19 @@ def lane(keys: Sequence[str] | str, order: Sequence[str] | str, width: float) ->
     return Lane(keys, order, width)
 
 
+def _laned(df: DataFrame, ln: Lane) -> DataFrame:
+    """Rows with their chunk and the lane they belong to: keys and chunk as one column that is never null.
+
+    Windows, summary and join all use this one column with plain equality, so the partitioning and
+    sort of the window serve the join as well.
+    """
+    rows = df.withColumn(_CHUNK, ln.chunk_column())
+    return rows.withColumn(_LANE, F.struct(*ln.keys, _CHUNK))
+
+
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of per-chunk carry columns on null-safe keys."""
-    renamed = carry
-    cond = None
-    names = [*keys, _CHUNK]
-    for k in names:
-        renamed = renamed.withColumnRenamed(k, f"__c_{k}")
-    for k in names:
-        c = rows[k].eqNullSafe(renamed[f"__c_{k}"])
-        cond = c if cond is None else cond & c
-    return rows.join(renamed, cond, "left").drop(*[f"__c_{k}" for k in names])
+    """Left join of per-chunk carry columns on the lane."""
+    return rows.join(carry.drop(*keys, _CHUNK), _LANE, "left").drop(_LANE)
 
 
 def scan(
@@ -83,7 +86,7 @@ def scan(
     last, prev, following = last or {}, prev or {}, following or {}
     upcoming, running, total = upcoming or {}, running or {}, total or {}
     keys = list(ln.keys)
-    rows = df.withColumn(_CHUNK, ln.chunk_column())
+    rows = _laned(df, ln)
     inputs = {**last, **prev, **following, **upcoming, **running, **total}
     rows = rows.select("*", *[e.alias(f"__v_{n}") for n, e in inputs.items()])
     o = ln.ordering()
@@ -96,7 +99,7 @@ def scan(
     aggs += [F.min_by(F.struct(v(n)), o).alias(f"__s_{n}") for n in following]
     aggs += [F.min_by(v(n), F.when(v(n).isNotNull(), o)).alias(f"__s_{n}") for n in upcoming]
     aggs += [F.sum(v(n)).alias(f"__s_{n}") for n in [*running, *total]]
-    summary = rows.groupBy(*keys, _CHUNK).agg(*aggs)
+    summary = rows.groupBy(_LANE).agg(*aggs).select("*", f"{_LANE}.*")
 
     part = W.partitionBy(*keys)
     fwd = part.orderBy(_CHUNK)
@@ -115,9 +118,9 @@ def scan(
         F.coalesce(F.sum(s(n)).over(before), F.lit(0)).alias(f"__c_{n}") for n in running
     ]
     carry_cols += [F.sum(s(n)).over(part).alias(f"__c_{n}") for n in total]
-    carry = summary.select(*keys, _CHUNK, *carry_cols)
+    carry = summary.select(_LANE, *keys, _CHUNK, *carry_cols)
 
-    inner = W.partitionBy(*keys, _CHUNK)
+    inner = W.partitionBy(_LANE)
     asc = inner.orderBy(*ln.order)
     desc = inner.orderBy(*[F.col(c).desc() for c in ln.order])
     upto = asc.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -165,15 +168,15 @@ def gap_groups(
     def far(d: Column) -> Column:
         return d >= g if strict else d > g
 
-    rows = df.withColumn(_CHUNK, ln.chunk_column())
-    inner = W.partitionBy(*keys, _CHUNK).orderBy(*ln.order)
+    rows = _laned(df, ln)
+    inner = W.partitionBy(_LANE).orderBy(*ln.order)
     opens = F.when(far(t - F.lag(t).over(inner)), F.lit(1).cast("long")).otherwise(F.lit(0))
     rows = rows.withColumn("__opens", opens).withColumn(
         "__local", F.sum("__opens").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
-    summary = rows.groupBy(*keys, _CHUNK).agg(
+    summary = rows.groupBy(_LANE).agg(
         F.min(t).alias("__first"), F.max(t).alias("__last"), F.max("__local").alias("__n")
-    )
+    ).select("*", f"{_LANE}.*")
     fwd = W.partitionBy(*keys).orderBy(_CHUNK)
     prior = F.lag("__last").over(fwd)
     summary = summary.withColumn(
@@ -182,6 +185,7 @@ def gap_groups(
     upto = fwd.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = fwd.rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(
+        _LANE,
         *keys,
         _CHUNK,
         (
