@@ -6,6 +6,8 @@ grouping), so a task gets one short stretch of one source, never a whole source.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +130,21 @@ def merge_raw_events(raw: DataFrame, width: float = 600.0, snapshot_cap: int = S
     return down_events.select(*names).unionByName(runs.select(*names))
 
 
+class SortedSpans:
+    """Spans at least ``apart`` from each other, in time order: a new one meets its two neighbours only."""
+
+    def __init__(self, apart: float) -> None:
+        self.apart, self.spans = apart, []
+
+    def add(self, lo: float, hi: float) -> bool:
+        """Keep the span if there is room for it."""
+        at = bisect.bisect_right(self.spans, (lo, hi))
+        room = (at == 0 or lo - self.spans[at - 1][1] >= self.apart) and (at == len(self.spans) or self.spans[at][0] - hi >= self.apart)
+        if room:
+            self.spans.insert(at, (lo, hi))
+        return room
+
+
 def keep_apart(
     df: DataFrame,
     keys: tuple[str, ...],
@@ -143,15 +160,9 @@ def keep_apart(
     grouped = gap_groups(df, lane(keys, (t, *order), width), radius, "__island", strict=True)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[float] = []
-        keep = []
+        kept = SortedSpans(radius)
         ranked = pdf.sort_values(order, kind="stable")
-        for at in ranked[t]:
-            ok = all(abs(at - k) >= radius for k in taken)
-            keep.append(ok)
-            if ok:
-                taken.append(at)
-        return ranked[keep]
+        return ranked[[kept.add(at, at) for at in ranked[t]]]
 
     return grouped.groupBy(*keys, "__island").applyInPandas(pick, grouped.schema).drop("__island")
 
@@ -169,14 +180,8 @@ def keep_disjoint(
     grouped = merge_spans(df, keys, lo, hi, width, "__island")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[float, float]] = []
-        keep = []
+        kept = SortedSpans(0.0)
         ranked = pdf.sort_values(order, ascending=ascending, kind="stable")
-        for a, b in zip(ranked[lo], ranked[hi]):
-            ok = all(b <= x or a >= y for x, y in taken)
-            keep.append(ok)
-            if ok:
-                taken.append((a, b))
-        return ranked[keep]
+        return ranked[list(map(kept.add, ranked[lo], ranked[hi]))]
 
     return grouped.groupBy(*keys, "__island").applyInPandas(pick, grouped.schema).drop("__island")

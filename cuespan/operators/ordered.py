@@ -291,8 +291,14 @@ def nearest(
         )
     )
     first = first.select(*keys, right_t, *[F.col("__r").getField(c).alias(c) for c in rest])
-    out = asof(left, first, keys, left_t, right_t, fields, width, name="__back")
-    out = asof(out, first, keys, left_t, right_t, fields, width, name="__ahead", forward=True)
+    # one union and one scan for both neighbours: right rows stand ahead of left rows of their instant
+    payload_of = F.struct(*fields).alias("__payload")
+    both = left.select(*keys, F.col(left_t).cast("double").alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left")).unionByName(
+        first.select(*keys, F.col(right_t).cast("double").alias("__t"), F.lit(0).alias("__side"), payload_of), allowMissingColumns=True
+    )
+    found = F.col("__payload")
+    out = scan(both, lane(keys, ("__t", "__side"), width), last={"__back": found}, upcoming={"__ahead": found})
+    out = out.where(F.col("__left").isNotNull()).select("__left.*", "__back", "__ahead")
     t = F.col(left_t)
     db = t - F.col("__back").getField(right_t)
     da = F.col("__ahead").getField(right_t) - t

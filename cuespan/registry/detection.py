@@ -8,7 +8,6 @@ from cuespan import constants as K
 from cuespan.plans import detect, loadout
 from cuespan.registry import tables as T
 from cuespan.registry.book import query
-from cuespan.session import cut_lineage
 
 C = 120.0
 EXTRACT = "regexp_matches(text, '撤离成功|撤离失败|任务失败|行动失败|行动成功')"
@@ -87,7 +86,7 @@ def extract_snapshots(spark, sf):
 @query("settlement_attributes", f"""WITH {T.RD}, g AS (SELECT src, t, bool_or(text = '收益 12,345') AS p, bool_or(text = '1:02:03') AS d, bool_or(text = '击败干员三') AS k3 FROM rd GROUP BY 1, 2)
 SELECT src, t, CASE WHEN d THEN '1:02:03' END AS duration, CASE WHEN p THEN '12,345' END AS profit, CASE WHEN k3 THEN '三' END AS kills FROM g WHERE p OR d OR k3""")
 def settlement_attributes(spark, sf):
-    g = T.readings(spark, sf).groupBy("src", "t").agg(F.collect_list("text").alias("texts"))
+    g = T.readings(spark, sf).groupBy("src", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("texts"))
     a = detect.settlement_attributes(F.col("texts"))
     out = g.select("src", "t", a["duration"].alias("duration"), a["profit"].alias("profit"), a["kills_official"].alias("kills"))
     return out.where("duration is not null or profit is not null or kills is not null")
@@ -95,7 +94,7 @@ def settlement_attributes(spark, sf):
 
 @query("detected_events")
 def detected_events(spark, sf):
-    e = detect.detect_events(cut_lineage(T.readings(spark, sf)), C)
+    e = detect.detect_events(T.readings(spark, sf), C)
     return e.select("session", "src", "kind", "t_start", "t_end", "detail", "confidence", "price", "meta.duration", "meta.profit")
 
 

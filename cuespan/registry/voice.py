@@ -39,8 +39,7 @@ ws AS (SELECT session, src, win, t, hf, CASE WHEN hf > 0.5 AND med > p50 * 0.4 T
 
 
 def inputs(spark, sf):
-    s = cut_lineage(T.sentences(spark, sf))
-    return s, cut_lineage(T.audio(spark, sf)), cut_lineage(T.durations(spark, sf))
+    return T.sentences(spark, sf), T.audio(spark, sf), T.durations(spark, sf)
 
 
 def windows(spark, sf):

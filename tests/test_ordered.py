@@ -205,3 +205,26 @@ def test_number_rows(df):
     for k, rs in by_key(rows(1)).items():
         for n, r in enumerate(rs, 1):
             assert got[(k, r[2])] == n
+
+
+def test_wide_rows_are_exchanged_once(spark):
+    """One hash exchange of the wide rows per ordered operator; both neighbours in one scan."""
+    import re
+
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        import __spark_entry__ as entry
+
+        def exchanges(df):
+            return re.findall(r"Exchange hash.*", df._jdf.queryExecution().executedPlan().toString())
+
+        got = exchanges(entry.queries()["nearest_dance"](spark, "/root/testdata/sf0.001"))
+        assert len(got) <= 6, got
+        rows = spark.range(100).selectExpr("id % 3 as k", "cast(id as double) as t", "cast(id as string) as wide")
+        plan = number_rows(rows, lane("k", "t", 10.0))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hash.*__lane", plan)) <= 3 and plan.count("Window [row_number") == 0
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
