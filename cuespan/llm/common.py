@@ -64,6 +64,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_remembered: dict[object, object] = {}
+
+
+def remembered(key: object, make):  # noqa: ANN001, ANN201
+    """A table that a worker process keeps from task to task. Only the last one asked for is kept: operators
+    that follow one another in a worker don't add up their memory."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty. ``bytes.split()`` then cuts at the six ASCII blanks only."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, column_of, texts_of
+from .common import batch_of, column_of, remembered, texts_of
 
 #: Structure statistics are cut into steps; each step is a feature of its own.
 _SHARE = np.array([0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -57,9 +56,8 @@ class TermIds(dict):
         return out
 
 
-@functools.lru_cache(2)
 def term_ids(spec: Features) -> TermIds:
-    return TermIds(spec)
+    return remembered(("terms", spec), lambda: TermIds(spec))
 
 
 def _structure(text: bytes, words: list[bytes], distinct: set[bytes]) -> list[float]:

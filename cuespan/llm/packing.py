@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import struct
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_of, column_of, one_thread, texts_of
+from .common import batch_of, column_of, one_thread, remembered, texts_of
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -78,10 +77,9 @@ class WordTokens(dict):
                 yield b"".join(map(self.__getitem__, words))
 
 
-@functools.lru_cache(1)
 def word_tokens(path: str) -> WordTokens:
     one_thread()
-    return WordTokens(path)
+    return remembered(("tokens", path), lambda: WordTokens(path))
 
 
 class Packer:

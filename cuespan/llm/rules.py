@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, rolling, texts_of
+from .common import WordHashes, batch_of, column_of, remembered, rolling, staged, texts_of
 
 #: Sketch resolution: a value's bucket bounds it within 2 % of itself.
 GAMMA = 1.02
@@ -46,8 +46,12 @@ def text_counts(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines), len(lines) - len(set(lines)), repeated_words(hashes.array(words))
 
 
+def _hashes() -> WordHashes:
+    return remembered("word hashes", WordHashes)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = _hashes()
     for batch in batches:
         rows = [text_counts(t, hashes) for t in texts_of(column_of(batch, "text"))]
         extra = batch.schema.get_field_index("text")
@@ -58,7 +62,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _structs(text: pa.Array) -> pa.Array:
-    hashes = WordHashes()
+    hashes = _hashes()
     rows = [text_counts(t, hashes) for t in texts_of(text)]
     return pa.array([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
 
@@ -155,14 +159,15 @@ def judge(stats: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFr
     A text without words fails the base. Null language or source is a group of its own. Repeated rows
     count and are judged each. An empty table gives no row.
     """
-    cuts = cutoffs(sketch(stats, ["lang", "source"]), least_rows, reach)
+    cuts = staged(cutoffs(sketch(stats, ["lang", "source"]), least_rows, reach), "cutoffs")
     failed = base_failed(F.col)
     return _with_cutoffs(stats, cuts).withColumns({"base_failed": failed, "kept": ~failed & within(F.col)})
 
 
 def keep_good(docs: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFrame:
     """The documents that ``judge`` keeps, with the columns they came with."""
-    cuts = cutoffs(sketch(text_stats(docs), ["lang", "source"]), least_rows, reach)
+    # written out, so that its size is known: small tables are broadcast, and texts then aren't shuffled
+    cuts = staged(cutoffs(sketch(text_stats(docs), ["lang", "source"]), least_rows, reach), "cutoffs")
     rows = docs.withColumn("__counts", counts_of(F.col("text").cast("string")))
     get = lambda k: F.col(f"__counts.{k}")
     return _with_cutoffs(rows, cuts).where(~base_failed(get) & within(get)).select(*docs.columns)

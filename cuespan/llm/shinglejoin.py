@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, partitions, runs, scatter, shingles, staged, texts_of
+from .common import WordHashes, batch_of, column_of, partitions, remembered, runs, scatter, shingles, staged, texts_of
 from .components import components
 
 #: Signature: a pair at the threshold of 0.75 agrees in none of BANDS rows of ROWS minima with probability
@@ -145,7 +145,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int)
         return out.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = remembered("word hashes", WordHashes)
         for batch in batches:
             ids, rows = column_of(batch, "doc_id"), column_of(batch, "row")
             texts = texts_of(column_of(batch, "text"))
@@ -229,7 +229,7 @@ def _verify(rows: DataFrame, keys: list[str], width: int, num: int, den: int) ->
     dealt = rows.select(*keys, "cls", "label", "text").repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = remembered("word hashes", WordHashes)
         for table, starts in runs(batches, keys):
             cls, labels = table.column("cls").to_numpy(), table.column("label").to_numpy()
             texts = table.column("text")
