@@ -87,12 +87,25 @@ def stage_progress(spark, sf):
     return p.select("session", "cur", F.round("frac", 6).alias("frac"))
 
 
-@query("stage_progress_by_duration")
+@query("stage_progress_by_duration", """WITH m AS (
+  SELECT user_id AS session, ts, event_type AS e, ['asr', 'speaker', 'detect', 'knockdowns', 'pickups'][k % 5 + 1] AS stage, k % 5 AS pos, k % 9 AS shard
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+s AS (SELECT session, stage, pos, arg_max(e, ts) AS state FROM m WHERE e IN ('signup', 'purchase', 'error') GROUP BY 1, 2, 3),
+w AS (SELECT session, arg_min(stage, pos) FILTER (state = 'signup') AS cur,
+  sum(CASE WHEN state <> 'signup' THEN CASE stage WHEN 'asr' THEN 0.03 WHEN 'speaker' THEN 0.01 WHEN 'detect' THEN 0.75 WHEN 'knockdowns' THEN 0.10 ELSE 0.06 END ELSE 0 END) AS base FROM s GROUP BY 1),
+c AS (SELECT session, count(*) FILTER (e = 'view') > 0 AS det, count(*) FILTER (e NOT IN ('view', 'signup', 'purchase', 'error')) > 0 AS parts,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / CAST(1000000 AS DOUBLE) AS spent FROM m GROUP BY 1),
+f AS (SELECT c.session, cur, spent, CAST(least(0.99, coalesce(base, 0) + CASE WHEN parts THEN 0.02 ELSE 0 END + CASE cur
+    WHEN 'detect' THEN CASE WHEN det THEN 0.75 ELSE 0 END WHEN 'knockdowns' THEN CASE WHEN parts THEN 0 ELSE 0.05 END
+    WHEN 'asr' THEN 0.015 WHEN 'speaker' THEN 0.005 WHEN 'pickups' THEN 0.03 ELSE 0 END) AS DOUBLE) AS frac
+  FROM c LEFT JOIN w ON w.session = c.session)
+SELECT CAST(session AS VARCHAR) AS session, cur, round(frac, 6) AS frac, round(CASE WHEN frac >= 0.03 THEN spent * (1 - frac) / frac END, 2) AS eta_sec FROM f""")
 def stage_progress_by_duration(spark, sf):
     marks = fleet.parse_progress(progress_lines(spark, sf))
     d = marks.where(F.col("mark") == "detected").select("session", F.col("shard").alias("filename")).distinct()
     d = d.withColumn("duration_s", F.length("filename") * 60.0)
-    return fleet.progress(marks, d, by_duration=True)
+    p = fleet.progress(marks, d, by_duration=True)
+    return p.select("session", "cur", F.round("frac", 6).alias("frac"), F.round("eta_sec", 2).alias("eta_sec"))
 
 
 @query("job_outcomes", """WITH h AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS tt, min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS t0 FROM events)
