@@ -15,29 +15,22 @@ def shares_from_sizes(sizes: DataFrame, power: float = 0.5, slots: int = 256) ->
     return sizes.select("source", F.greatest(F.lit(1), F.round(weight / total * slots)).cast("int").alias("share"))
 
 
-def earliest_deadline_first(counts: Column) -> Column:
-    """The schedule of one round: for ``counts[i]`` blocks of source ``i``, the source of each slot.
+def earliest_deadline_first(counts: Column, slots: Column) -> Column:
+    """The schedule of one round: for ``counts[i]`` blocks of source ``i``, ``slots`` in sum, the source of each slot.
 
     Block k of c in a round of n slots is released at floor((k-1)n/c) and due at ceil(kn/c). In each
     slot the released block with the earliest deadline runs, ties to the lower source. Every
     deadline is met, so a source is never a whole block away from its share at any slot.
     """
-    n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
     start = F.struct(F.transform(counts, lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
 
     def step(state: Column, slot: Column) -> Column:
-        ready = F.transform(
-            F.arrays_zip(counts.alias("c"), state["done"].alias("k")),
-            lambda z, i: F.when(
-                (z["k"] < z["c"]) & (F.floor(z["k"] * n / z["c"]) <= slot),
-                F.struct(F.ceil((z["k"] + 1) * n / z["c"]).alias("due"), i.alias("i")),
-            ),
-        )
-        pick = F.array_min(F.filter(ready, lambda r: r.isNotNull()))["i"]
+        due = F.zip_with(counts, state["done"], lambda c, k: F.when((k < c) & (F.floor(k * slots / c) <= slot), F.ceil((k + 1) * slots / c)))
+        pick = F.array_position(due, F.array_min(due)).cast("int") - 1
         done = F.transform(state["done"], lambda k, i: k + (i == pick).cast("int"))
         return F.struct(done.alias("done"), F.concat(state["order"], F.array(pick)).alias("order"))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["order"])
+    return F.aggregate(F.sequence(F.lit(0), slots - 1), start, step, lambda s: s["order"])
 
 
 def positions(docs: DataFrame, size: Column, block: int, bucket_rows: int = 20_000) -> DataFrame:
@@ -77,7 +70,9 @@ def schedule(sizes: DataFrame, shares: DataFrame, block: int) -> DataFrame:
     give = F.transform("all", lambda s: F.greatest(F.lit(0), F.least(s["share"].cast("long"), s["blocks"] - F.col("round") * s["share"])).cast("int"))
     first = F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + F.least(s["blocks"], F.col("round") * s["share"]))
     rounds = rounds.select("round", give.alias("counts"), first.alias("first"))
-    kinds = rounds.select("counts").distinct().withColumn("order", earliest_deadline_first(F.col("counts")))
+    # a few kinds of rounds, each scheduled once: the written schedules are what the rounds join
+    kinds = rounds.select("counts").distinct().withColumn("slots", F.aggregate("counts", F.lit(0), lambda a, c: a + c))
+    kinds = staged(kinds.repartition("counts").select("counts", earliest_deadline_first(F.col("counts"), F.col("slots")).alias("order")), "round-schedules")
     slots = rounds.join(kinds, "counts").select("round", "first", F.posexplode("order").alias("at", "i"))
     turn = F.row_number().over(Window.partitionBy("round", "i").orderBy("at")) - 1
     slots = slots.withColumn("turn", turn)

@@ -134,7 +134,7 @@ def edf(counts):
 
 def test_mixing_schedule(spark):
     cases = [[3, 5, 1], [7], [0, 4, 4, 1], [13, 1, 1, 2, 30]]
-    df = spark.createDataFrame([(c,) for c in cases], "counts array<int>").withColumn("o", mixing.earliest_deadline_first(F.col("counts")))
+    df = spark.createDataFrame([(c,) for c in cases], "counts array<int>").withColumn("n", F.aggregate("counts", F.lit(0), lambda a, c: a + c)).withColumn("o", mixing.earliest_deadline_first(F.col("counts"), F.col("n"))).select("counts", "o")
     for counts, order in df.collect():
         assert order == edf(counts)
         for t in range(1, len(order) + 1):
