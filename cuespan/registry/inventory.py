@@ -58,7 +58,11 @@ def fingerprints(spark, sf):
     return inventory.fingerprints(T.files(spark, sf))
 
 
-@query("covered_targets")
+@query("covered_targets", f"""WITH {JOBS}, a AS (SELECT *, unnest(CASE sub WHEN '' THEN [root] WHEN 'A/' THEN [root, root || '/A'] WHEN 'A/x/' THEN [root, root || '/A', root || '/A/x']
+  WHEN 'B/' THEN [root, root || '/B'] ELSE [root, root || '/C', root || '/C/y', root || '/C/y/z'] END) AS target FROM fl WHERE is_video),
+p AS (SELECT target, sha1(target || string_agg('|' || regexp_extract(path, '([^/]*)$', 1) || '|' || size || '|' || CAST(mtime AS BIGINT), '' ORDER BY string_split(path, '/'))) AS fingerprint FROM a GROUP BY 1),
+j AS (SELECT path, arg_min(state, (enq, key)) AS state FROM jb GROUP BY 1)
+SELECT target, fingerprint, coalesce(state = 'done', false) AS done FROM p LEFT JOIN j ON j.path = p.target""")
 def covered_targets(spark, sf):
     p = inventory.fingerprints(T.files(spark, sf))
     j = jobs(spark, sf).join(p.withColumnRenamed("target", "path").withColumnRenamed("fingerprint", "fp"), "path", "left")
