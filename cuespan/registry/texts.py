@@ -277,7 +277,12 @@ def sentence_split(spark, sf):
     )
 
 
-@query("timed_sentences")
+@query("timed_sentences", r"""WITH t AS (SELECT source, doc_id, regexp_extract_all(replace(text, '.', '。'), '[^。！？!?]*[。！？!?]|[^。！？!?]+') AS ps FROM documents),
+p AS (SELECT source, doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS pos FROM t),
+k AS (SELECT *, length(regexp_replace(piece, '[^\p{L}\p{N}]', '', 'g')) AS k FROM p),
+u AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM k)
+SELECT source AS session, CAST(doc_id AS VARCHAR) AS src, CAST(pos AS INT) AS id, CAST((upto - k) * 200 AS DOUBLE) / 1000 AS start,
+  CAST((upto - 1) * 200 + 180 AS DOUBLE) / 1000 AS "end", trim(piece) AS text FROM u WHERE k > 0 AND trim(piece) <> ''""")
 def timed_sentences(spark, sf):
     """Documents as recognised texts, 200 ms per character; every sentence gets its times."""
     t = F.regexp_replace("text", r"\.", "。")
