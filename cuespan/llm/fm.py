@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, spec:
     """Fit on at most ``most_rows`` labelled rows, the first in the order of a hash of id and text.
 
     ``allowed``: which rows of ``docs`` may be learned from. Rows with a null label, and ids with labels
-    that differ, teach nothing; equal ones count once. The sample is the only thing that is collected,
+    that differ, teach nothing; equal ones count once, and so does an id that ``docs`` repeats. The sample is the only thing that is collected,
     as feature ids, of which a text has no more than the machine has buckets.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__y"), F.max(label).alias("__y2")).where("__y = __y2 and __y in (0, 1)")
@@ -195,8 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, spec:
             ids = [featurize(t, m, spec).tobytes() for t, m in zip(texts, meta, strict=False)]
             yield batch_of(schema, [column_of(batch, "__y").cast(pa.int32()), ids, column_of(batch, "__id").cast(pa.int64())])
 
-    got = rows.select("__id", "__y", "text", *spec.metadata).mapInArrow(run, "y int, ids binary, o long").collect()
-    got.sort(key=lambda r: (r.o, bytes(r.ids)))
+    found = rows.select("__id", "__y", "text", *spec.metadata).mapInArrow(run, "y int, ids binary, o long")
+    # one row of each id, however often the table repeats it
+    got = [r.m for r in found.groupBy("o").agg(F.min(F.struct("ids", "y", "o")).alias("m")).collect()]
+    got.sort(key=lambda r: r.o)
     return fit([np.frombuffer(bytes(r.ids), np.int32) for r in got], np.array([r.y for r in got]), spec, **how)
 
 
