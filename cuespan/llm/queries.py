@@ -96,4 +96,22 @@ QUERIES = {
         op7_hyperplane_neighbours, op8_pitman_yor, op9_count_tree_join, op10_toxicity_machine,
     )
 }
-ORACLE: dict[str, str] = {}
+#: Turns are unique in a conversation here, so ids are; islands of turns two apart give the depth.
+ORACLE = {
+    "op4_tool_call_linking": """WITH t AS (SELECT conv_id, turn, role, text, length(coalesce(text, '')) AS n FROM conversations),
+c AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS isle FROM t WHERE role = 'assistant'),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, isle ORDER BY turn) - 1 AS depth FROM c),
+r AS (SELECT conv_id, turn, text FROM t WHERE role <> 'assistant' AND turn > 0),
+j AS (
+  SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, 'c' || coalesce(d.conv_id, r.conv_id) || '-' || coalesce(d.turn, r.turn - 1) AS call_id,
+    d.turn AS call_turn, r.turn AS result_turn, CASE d.n % 3 WHEN 0 THEN 'count' WHEN 1 THEN 'lookup' WHEN 2 THEN 'rank' END AS tool,
+    CASE WHEN d.turn IS NULL THEN 'no_call' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, depth,
+    CASE WHEN d.turn IS NULL THEN [] WHEN d.n % 3 = 0 THEN [] WHEN d.n % 3 = 1 THEN ['missing limit', 'unknown exact'] ELSE ['no such tool'] END AS errs,
+    '{"exact":' || (d.n % 2 = 0) || ',"n":' || d.n || ',"query":' || CAST(to_json(coalesce(d.text, '')) AS VARCHAR) || '}' AS canonical, r.text AS result
+  FROM d FULL JOIN r ON r.conv_id = d.conv_id AND r.turn = d.turn + 1)
+SELECT conv_id, call_id, call_turn, result_turn, tool, status, CAST(depth AS BIGINT) AS depth, coalesce(array_to_string(errs, '; '), '') AS errors, canonical,
+  '{"arguments":' || coalesce(canonical, 'null') || ',"call_id":"' || call_id || '","depth":' || coalesce(CAST(depth AS VARCHAR), 'null') || ',"errors":['
+    || coalesce(array_to_string(list_transform(errs, lambda x: '"' || x || '"'), ','), '') || '],"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null')
+    || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || '}' AS line
+FROM j""",
+}
