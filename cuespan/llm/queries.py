@@ -114,4 +114,27 @@ SELECT conv_id, call_id, call_turn, result_turn, tool, status, CAST(depth AS BIG
     || coalesce(array_to_string(list_transform(errs, lambda x: '"' || x || '"'), ','), '') || '],"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null')
     || ',"status":"' || status || '","tool":' || coalesce('"' || tool || '"', 'null') || '}' AS line
 FROM j""",
+    "op5_adaptive_rules": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT rid, unnest(range(1, len(w) - 6)) AS pos, w FROM d WHERE len(w) >= 8),
+g AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, array_to_string(w[pos : pos + 7], ' ')) AS times FROM i),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(pos, pos + 8)) AS p FROM g WHERE times > 1) GROUP BY 1),
+n AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+s AS (SELECT d.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN r ON r.rid = d.rid),
+m AS (SELECT rid, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word_chars']) AS measure, unnest([0.1, 0.4, 0.3, 12.0]) AS floor,
+  unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS v FROM s),
+b AS (SELECT *, CASE WHEN v > 0.000001 THEN CAST(ceil(ln(v) / ln(CAST(1.02 AS DOUBLE))) AS INT) END AS bucket FROM m),
+k AS (SELECT *, unnest([lang || chr(2) || source, lang, '']) AS grp, unnest([1, 2, 3]) AS level FROM b),
+c AS (SELECT level, grp, measure, coalesce(pow(CAST(1.02 AS DOUBLE), bucket), 0) AS value, count(*) AS n FROM k GROUP BY level, grp, measure, bucket),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, grp, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY level, grp, measure) AS total FROM c),
+q AS (SELECT level, grp, measure, max(total) AS total, min(value) FILTER (upto >= 0.25 * total) AS q0, min(value) FILTER (upto >= 0.75 * total) AS q1 FROM u GROUP BY 1, 2, 3),
+f AS (SELECT k.rid, k.measure, max(k.v) AS v, greatest(max(k.floor), arg_min(q.q1 + 3 * (q.q1 - q.q0), k.level) FILTER (q.total >= 200 OR k.level = 3)) AS cut
+  FROM k JOIN q ON q.level = k.level AND q.grp = k.grp AND q.measure = k.measure GROUP BY 1, 2),
+o AS (SELECT rid, bool_and(v <= cut * CAST(1.02 AS DOUBLE)) AS inside FROM f GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND inside AS kept FROM s JOIN o ON o.rid = s.rid""",
 }
