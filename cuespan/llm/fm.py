@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, column_of, remembered, texts_of
+from .common import batch_of, column_of, remembered, small_batches, texts_of
 
 #: Structure statistics are cut into steps; each step is a feature of its own.
 _SHARE = np.array([0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -178,6 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, spec:
     that differ, teach nothing; equal ones count once, and so does an id that ``docs`` repeats. The sample is the only thing that is collected,
     as feature ids, of which a text has no more than the machine has buckets.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("__y"), F.max(label).alias("__y2")).where("__y = __y2 and __y in (0, 1)")
     marks = marks.select(F.col("doc_id").alias("__id"), "__y")
     own = docs.where(allowed).select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text"), *[F.col(m).cast("double").alias(m) for m in spec.metadata])
@@ -210,6 +211,7 @@ def scored(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
     two new ones replace columns of their names.
     """
     spec = machine.spec
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def score(text: pa.Array, *meta: pa.Array) -> pa.Array:

@@ -12,7 +12,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_of, column_of, one_thread, remembered, texts_of
+from .common import batch_of, column_of, one_thread, remembered, small_batches, texts_of
 
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -169,6 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
     """
     if window < 2:
         raise ValueError("window must be at least 2")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, packer = word_tokens(tokenizer), Packer(window, most_open)

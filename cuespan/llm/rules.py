@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, remembered, rolling, staged, texts_of
+from .common import WordHashes, batch_of, column_of, remembered, rolling, small_batches, staged, texts_of
 
 #: Sketch resolution: a value's bucket bounds it within 2 % of itself.
 GAMMA = 1.02
@@ -74,6 +74,7 @@ def counts_of(text: Column) -> Column:
 
 def text_stats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, ``source`` and the counts of every whole text."""
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(_counts, "doc_id long, lang string, source string, " + _STATS)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, partitions, remembered, runs, scatter, shingles, staged, texts_of
+from .common import WordHashes, batch_of, column_of, partitions, remembered, runs, scatter, shingles, small_batches, staged, texts_of
 from .components import components
 
 #: Signature: a pair at the threshold of 0.75 agrees in none of BANDS rows of ROWS minima with probability
@@ -130,6 +130,7 @@ class Sets:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rng = np.random.default_rng(seed)
     turns = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
     factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
