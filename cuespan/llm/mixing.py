@@ -33,7 +33,7 @@ def earliest_deadline_first(counts: Column, slots: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), slots - 1), start, step, lambda s: s["order"])
 
 
-def positions(docs: DataFrame, size: Column, block: int, bucket_rows: int = 20_000) -> DataFrame:
+def positions(docs: DataFrame, size: Column, block: int, bucket_rows: int = 4_096) -> DataFrame:
     """``docs`` with ``before``: the size of the source's documents ahead of each, in a hashed order.
 
     A source is cut into buckets by hash, many for a large one; running sums stay inside a
