@@ -89,7 +89,7 @@ def test_settlement_tracking_and_attributes(spark):
     ])
     spans = detect.settlement_spans(r).collect()
     assert [(s.lo, s.hi) for s in spans] == [(10.0, 28.0)]
-    got = detect.detect_events(r).collect()
+    got = sorted(detect.detect_events(r).collect(), key=lambda e: e.t_start)  # a table has no order of its own
     assert [(e.t_start, e.t_end) for e in got] == [(10.0, 10.0), (16.0, 16.0)]
     m = got[1].meta
     assert (m.duration, m.profit, m.kills_official) == ("1:02:03", "8,926,620", "三")
