@@ -111,13 +111,21 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.w[at].sum()) + pairs, -35, 35))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int = 4, epochs: int = 40, rate: float = 0.2, decay: float = 2e-4, least_z: float = 5.0, least_docs: int = 3, least_lift: float = 2.0, balance: float = 0.5, seed: int = 7) -> Machine:
+def _beyond(now: np.ndarray, gradient: np.ndarray, step: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """``now`` after a step, drawn back to 0 by ``chance``."""
+    to = now - step * gradient
+    return np.sign(to) * np.maximum(0, np.abs(to) - step * chance)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int = 4, epochs: int = 40, rate: float = 0.05, decay: float = 2e-4, least_z: float = 0.0, least_docs: int = 3, least_lift: float = 1.0, shrink: float = 4.0, balance: float = 0.5, seed: int = 7) -> Machine:
     """Fit on a bounded sample by mini-batch AdaGrad on the log loss. ``balance`` 0 weighs rows
     alike, 1 classes.
 
-    Terms whose shares in the classes differ by under ``least_z`` standard errors or a factor under
-    ``least_lift``, or that fewer than ``least_docs`` texts have, are left out. Without both classes the score is the label's mean,
-    without rows 0.5.
+    Terms that fewer than ``least_docs`` texts have are left out, and on demand those whose shares in the
+    classes differ by under ``least_z`` standard errors or a factor under ``least_lift``. All others have a
+    weight and factors, which leave their start only by what their gradients have beyond ``shrink`` times
+    what chance gives them; a weight with evidence of its own is shrunk by less. Without both classes the
+    score is the label's mean, without rows 0.5.
     """
     n = len(rows)
     y = np.asarray(labels, float)
@@ -126,8 +134,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
         return Machine(spec, none, np.zeros(0), np.zeros((0, rank)), float(np.log(p / (1 - p))))
     flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
-    of = np.repeat(np.arange(n), lengths)
+    of = np.repeat(np.arange(n, dtype=np.int32), lengths)
     ids, inv = np.unique(flat, return_inverse=True)
+    inv = inv.astype(np.int32)
+    del flat
     n1, n0 = y.sum(), n - y.sum()
     a = np.bincount(inv, y[of], len(ids))
     df = np.bincount(inv, minlength=len(ids))
@@ -136,15 +146,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
     z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     lift = np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
     take = (df >= least_docs) & ((ids >= spec.buckets) | (z >= least_z) & (lift >= np.log(least_lift)))
-    ids, place = ids[take], np.cumsum(take) - 1
+    ids, place = ids[take], (np.cumsum(take) - 1).astype(np.int32)
     ok = take[inv]
     col, row = place[inv[ok]], of[ok]
+    del inv, of, ok
     starts = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), rank)), 0.0
+    z = z[take]
+    # in long texts factors start smaller, those of neutral terms most: else their pairs drown all others
+    first = 0.02 * np.minimum(1, np.maximum(1, z / 3) * np.sqrt(3 * n / max(1, len(col))))
+    start = rng.normal(0, first[:, None], (len(ids), rank))
+    w, v, bias = np.zeros(len(ids)), start.copy(), 0.0
     gw, gv, gb = np.full(len(ids), 1e-3), np.full((len(ids), rank), 1e-3), 1e-3
     weight = np.where(y > 0, 0.5 * n / n1, 0.5 * n / n0) ** balance
-    for _ in range(epochs):
+    # what chance adds to a feature's gradient in an epoch, dealt over the batches that have the feature
+    batches = -(-n // 256)
+    chance = shrink * np.sqrt(df[take] * np.mean((weight * (y - y.mean())) ** 2)) / 256
+    chance /= np.maximum(1, batches * (1 - (1 - 1 / batches) ** df[take]))
+    chance_w = chance * np.minimum(1, (shrink / np.maximum(z, 1e-9)) ** 2)
+    for _ in range(max(epochs, -(-400 // batches))):  # few rows make few batches
         order = rng.permutation(n)
         for k in range(0, n, 256):
             part = order[k : k + 256]
@@ -158,15 +178,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, spec: Features, rank: int =
             squares = np.bincount(r, (vc**2).sum(1), len(part))
             s = bias + np.bincount(r, w[c], len(part)) + 0.5 * ((total**2).sum(1) - squares)
             err = (1 / (1 + np.exp(-np.clip(s, -35, 35))) - y[part]) * weight[part] / len(part)
-            used, cu = np.unique(c, return_inverse=True)
-            dw = np.bincount(cu, err[r], len(used)) + decay * w[used] / 10
+            used = np.flatnonzero(np.bincount(c, minlength=len(ids)))
+            dw = np.bincount(c, err[r], len(ids))[used] + decay * w[used] / 10
             each = err[r][:, None] * (total[r] - vc)
-            dv = np.stack([np.bincount(cu, each[:, f], len(used)) for f in range(rank)], 1) + decay * v[used]
+            dv = np.stack([np.bincount(c, each[:, f], len(ids))[used] for f in range(rank)], 1) + decay * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             gb += err.sum() ** 2
-            w[used] -= 4 * rate * dw / np.sqrt(gw[used])
-            v[used] -= rate * dv / np.sqrt(gv[used])
+            w[used] = _beyond(w[used], dw, 4 * rate / np.sqrt(gw[used]), chance_w[used])
+            v[used] = start[used] + _beyond(v[used] - start[used], dv, rate / np.sqrt(gv[used]), 2 * chance[used, None] * np.sqrt((total**2).mean(0)))
             bias -= rate * err.sum() / np.sqrt(gb)
     return Machine(spec, ids, w, v, bias)
 

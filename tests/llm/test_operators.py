@@ -199,6 +199,16 @@ def test_machine_learns_a_pair():
     assert np.mean([(m.score(x) >= 0.5) == t for x, t in zip(rows, y)]) > 0.95
 
 
+def test_machine_learns_a_pair_of_neutral_terms_with_defaults():
+    """No term tells anything alone; texts that the machine hasn't seen are told by their pair."""
+    r = np.random.default_rng(1)
+    rows = [np.array(sorted({int(a), int(b) + 2, int(r.integers(10, 60))}), np.int32) for a, b in r.integers(0, 2, (3000, 2))]
+    y = np.array([int((0 in x) == (2 in x)) for x in rows])
+    m = fm.fit(rows[:2000], y[:2000], fm.Features(structure=False))
+    assert len(m.ids) == len({i for x in rows[:2000] for i in x})
+    assert np.mean([(m.score(x) >= 0.5) == t for x, t in zip(rows[2000:], y[2000:])]) > 0.95
+
+
 @pytest.mark.parametrize("name,label,held,least", [("op3_quality_machine", "quality", 1, 0.97), ("op10_toxicity_machine", "toxic", 2, 0.92)])
 def test_held_out_accuracy(spark, name, label, held, least):
     sf = "/root/testdata/sf0.01"
