@@ -204,8 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, spec:
     own = docs.where(allowed).select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text"), *[F.col(m).cast("double").alias(m) for m in spec.metadata])
     order = F.xxhash64("__id")
     # the order needs ids only: texts are fetched for the chosen ones
-    chosen = own.select("__id").join(marks, "__id").select("__id", "__y", order.alias("__o")).orderBy("__o", "__id").limit(most_rows)
-    kept = chosen.select("__id", "__y").dropDuplicates(["__id"])
+    chosen = own.select("__id").join(marks, "__id").select("__id", "__y", order.alias("__o")).dropDuplicates(["__id"]).orderBy("__o", "__id").limit(most_rows)
+    kept = chosen.select("__id", "__y")
     rows = own.join(F.broadcast(kept), "__id")  # at most most_rows ids: a bound whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

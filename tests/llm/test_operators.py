@@ -233,6 +233,14 @@ def test_machine_odd_rows(spark, docs, empty):
     assert all(r.predicted == 0 for r in fm.scored(docs.limit(3), one_class, 0.3).collect())
 
 
+def test_machine_sample_counts_ids(spark, monkeypatch):
+    """Copies of an id stand together in the sample's order and take one place."""
+    rows = spark.createDataFrame([(i, f"text {i}", "en", "a", 6) for i in range(20) for _ in range(10)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    monkeypatch.setattr(fm, "fit", lambda rows, labels, spec: len(rows))
+    assert fm.learn(rows, labels, "quality", F.lit(True), fm.QUALITY, most_rows=15) == 15
+
+
 # --- 4: tool calls ------------------------------------------------------------------------------------
 
 
