@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fm, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
+from . import chat, fm, langid, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
 from .common import doc_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -89,11 +89,19 @@ def op9_count_tree_join(spark: SparkSession, sf: str) -> DataFrame:
     return shinglejoin.shingle_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_rank_order_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = doc_bucket(F.col("doc_id"), 5)
+    profiles = langid.learn(docs, fold != 0)
+    return langid.identify(docs.select("doc_id", "text", (fold == 0).alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sum_of_squares_packing, op2_pfair_mixing, op3_quality_machine, op4_tool_call_linking, op5_adaptive_rules, op6_segmented_archives,
         op7_hyperplane_neighbours, op8_pitman_yor, op9_count_tree_join, op10_toxicity_machine,
+        op12_rank_order_profiles,
     )
 }
 #: Turns are unique in a conversation here, so ids are; islands of turns two apart give the depth.
@@ -155,4 +163,20 @@ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.
 l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 75 * (a.n + b.n - m)),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY 1""",
+    "op12_rank_order_profiles": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, CAST(doc_id AS VARCHAR) AS id FROM documents),
+f AS (SELECT rid, doc_id, lang, regexp_matches(text, '\p{L}') AS letters, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS t,
+  xor(list_reduce(list_transform(range(1, length(id) + 1), lambda k: CAST(ascii(substr(id, k, 1)) AS BIGINT)), lambda c, b:
+    list_reduce(range(8), lambda e, k: CASE WHEN e & 1 = 1 THEN xor(e >> 1, 3988292384) ELSE e >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 5 = 0 AS held_out FROM d),
+i AS (SELECT rid, t, unnest(range(1, length(t) + 1)) AS k FROM f WHERE letters),
+g AS (SELECT rid, substr(t, k, 1) AS g FROM i UNION ALL SELECT rid, substr(t, k, 2) FROM i WHERE k < length(t)
+  UNION ALL SELECT rid, substr(t, k, 3) FROM i WHERE k < length(t) - 1 AND substr(t, k + 1, 1) <> ' '),
+n AS (SELECT rid, g, count(*) AS n FROM g WHERE g <> ' ' GROUP BY 1, 2),
+o AS (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, g) AS r FROM n QUALIFY r <= 400),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) AS r FROM n JOIN f USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r <= 400),
+m AS (SELECT rid, 400 * count(*) AS most FROM o GROUP BY 1),
+s AS (SELECT rid, p.lang, sum(400 - abs(o.r - p.r)) AS saved FROM o JOIN p USING (g) GROUP BY 1, 2),
+b AS (SELECT rid, lang, saved FROM s QUALIFY row_number() OVER (PARTITION BY rid ORDER BY saved DESC, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, CASE WHEN letters THEN (SELECT min(lang) FROM p) END, 'und') AS lang_pred,
+  CASE WHEN b.rid IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(most - saved AS DOUBLE) / CAST(most AS DOUBLE) END AS score
+FROM f LEFT JOIN b ON b.rid = f.rid LEFT JOIN m ON m.rid = f.rid""",
 }
