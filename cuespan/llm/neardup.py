@@ -17,10 +17,15 @@ _CLASS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 _LINKS = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
-def usable(vector: str):  # noqa: ANN201
-    """Not null, every component finite, and not all zero."""
+def finite(vector: str):  # noqa: ANN201
+    """Not null and every component finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
+    return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+def usable(vector: str):  # noqa: ANN201
+    """Finite, and not all zero."""
+    return finite(vector) & F.exists(vector, lambda x: x != 0)
 
 
 def plan_tables(n: int, threshold: float, loss: float, per_bucket: int = 64) -> tuple[int, int]:

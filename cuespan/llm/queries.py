@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fm, langid, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
+from . import chat, fm, hardneg, langid, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
 from .common import doc_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,12 +96,17 @@ def op12_rank_order_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", (fold == 0).alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_zone_mapped_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sum_of_squares_packing, op2_pfair_mixing, op3_quality_machine, op4_tool_call_linking, op5_adaptive_rules, op6_segmented_archives,
         op7_hyperplane_neighbours, op8_pitman_yor, op9_count_tree_join, op10_toxicity_machine,
-        op12_rank_order_profiles,
+        op12_rank_order_profiles, op13_zone_mapped_negatives,
     )
 }
 #: Turns are unique in a conversation here, so ids are; islands of turns two apart give the depth.
@@ -179,4 +184,12 @@ b AS (SELECT rid, lang, saved FROM s QUALIFY row_number() OVER (PARTITION BY rid
 SELECT doc_id, held_out, coalesce(b.lang, CASE WHEN letters THEN (SELECT min(lang) FROM p) END, 'und') AS lang_pred,
   CASE WHEN b.rid IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(most - saved AS DOUBLE) / CAST(most AS DOUBLE) END AS score
 FROM f LEFT JOIN b ON b.rid = f.rid LEFT JOIN m ON m.rid = f.rid""",
+    "op13_zone_mapped_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
 }
