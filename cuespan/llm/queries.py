@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fm, hardneg, langid, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
+from . import chat, collocation, fm, hardneg, langid, mixing, neardup, packing, pitmanyor, rules, shinglejoin, warc
 from .common import doc_bucket
 
 TOKENIZER = "word_bpe_49k.json"
@@ -89,6 +89,10 @@ def op9_count_tree_join(spark: SparkSession, sf: str) -> DataFrame:
     return shinglejoin.shingle_groups(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf, "documents"))
+
+
 def op12_rank_order_profiles(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     fold = doc_bucket(F.col("doc_id"), 5)
@@ -106,7 +110,7 @@ QUERIES = {
     for f in (
         op1_sum_of_squares_packing, op2_pfair_mixing, op3_quality_machine, op4_tool_call_linking, op5_adaptive_rules, op6_segmented_archives,
         op7_hyperplane_neighbours, op8_pitman_yor, op9_count_tree_join, op10_toxicity_machine,
-        op12_rank_order_profiles, op13_zone_mapped_negatives,
+        op11_phrase_collocations, op12_rank_order_profiles, op13_zone_mapped_negatives,
     )
 }
 #: Turns are unique in a conversation here, so ids are; islands of turns two apart give the depth.
@@ -168,6 +172,20 @@ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.
 l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 75 * (a.n + b.n - m)),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY 1""",
+    "op11_phrase_collocations": r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM w WHERE len(w) > 0),
+g AS (SELECT lang, w[k : k + m - 1] AS g FROM i, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE k + m - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+p AS (SELECT DISTINCT f.lang, f.g[j : j + m - 1] AS g, f.a FROM f, (SELECT unnest([1, 2, 3]) AS j), (SELECT unnest([2, 3]) AS m) WHERE m < len(f.g) AND j + m - 1 <= len(f.g)),
+v AS (SELECT b.*, array_to_string(g, ' ') AS phrase FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.lang = b.lang AND p.g = b.g AND 100 * p.a >= 80 * b.a))
+SELECT v.lang, row_number() OVER (PARTITION BY v.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM v JOIN t ON t.lang = v.lang QUALIFY rank <= 2000""",
     "op12_rank_order_profiles": r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, CAST(doc_id AS VARCHAR) AS id FROM documents),
 f AS (SELECT rid, doc_id, lang, regexp_matches(text, '\p{L}') AS letters, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{M}]+', ' ', 'g')) || ' ' AS t,
   xor(list_reduce(list_transform(range(1, length(id) + 1), lambda k: CAST(ascii(substr(id, k, 1)) AS BIGINT)), lambda c, b:
