@@ -161,7 +161,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
         for t in text.to_pylist():
             a, some = letters(t or "")
             lang, score = profiles.nearest(a) if some else (None, 0.0)
-            out.append({"lang": lang or "und", "score": score})
+            out.append({"lang": "und" if lang is None else lang, "score": score})
         return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     found = f"__guess_{uuid.uuid4().hex}"
