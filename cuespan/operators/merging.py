@@ -1,4 +1,4 @@
-"""Merging of repeated detections, and greedy picks, on islands that cannot affect each other.
+"""Merging of repeated detections.
 
 Rows are first cut into islands across which a rule provably has no effect (with the skew-proof gap
 grouping), so a task gets one short stretch of one source, never a whole source.
@@ -6,14 +6,10 @@ grouping), so a task gets one short stretch of one source, never a whole source.
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan.functions.fuzzy import same_target
-from cuespan.operators.intervals import merge_spans
 from cuespan.operators.ordered import gap_groups, lane, scan
 
 LOOK_BACK = 4.0
@@ -128,60 +124,3 @@ def merge_raw_events(raw: DataFrame, width: float = 600.0, snapshot_cap: int = S
     runs = runs.withColumn("snapshot", F.when(merged, joined).otherwise(F.col("snapshot")))
     names = [*keys, "kind", "t_start", "t_end", "detail", "confidence", "target", "text", "point", "snapshot", *_FIELDS[3:]]
     return down_events.select(*names).unionByName(runs.select(*names))
-
-
-class SortedSpans:
-    """Spans at least ``apart`` from each other, in time order: a new one meets its two neighbours only."""
-
-    def __init__(self, apart: float) -> None:
-        self.apart, self.spans = apart, []
-
-    def add(self, lo: float, hi: float) -> bool:
-        """Keep the span if there is room for it."""
-        at = bisect.bisect_right(self.spans, (lo, hi))
-        room = (at == 0 or lo - self.spans[at - 1][1] >= self.apart) and (at == len(self.spans) or self.spans[at][0] - hi >= self.apart)
-        if room:
-            self.spans.insert(at, (lo, hi))
-        return room
-
-
-def keep_apart(
-    df: DataFrame,
-    keys: tuple[str, ...],
-    t: str,
-    order: list[str],
-    radius: float,
-    width: float = 600.0,
-) -> DataFrame:
-    """Greedy pick in the given order: skip a row closer than ``radius`` to one already kept.
-
-    Rows at least ``radius`` from their neighbours never meet, so islands are decided apart.
-    """
-    grouped = gap_groups(df, lane(keys, (t, *order), width), radius, "__island", strict=True)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = SortedSpans(radius)
-        ranked = pdf.sort_values(order, kind="stable")
-        return ranked[[kept.add(at, at) for at in ranked[t]]]
-
-    return grouped.groupBy(*keys, "__island").applyInPandas(pick, grouped.schema).drop("__island")
-
-
-def keep_disjoint(
-    df: DataFrame,
-    keys: tuple[str, ...],
-    lo: str,
-    hi: str,
-    order: list[str],
-    ascending: list[bool],
-    width: float = 600.0,
-) -> DataFrame:
-    """Greedy pick of spans in the given order, skipping those that overlap a kept one."""
-    grouped = merge_spans(df, keys, lo, hi, width, "__island")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = SortedSpans(0.0)
-        ranked = pdf.sort_values(order, ascending=ascending, kind="stable")
-        return ranked[list(map(kept.add, ranked[lo], ranked[hi]))]
-
-    return grouped.groupBy(*keys, "__island").applyInPandas(pick, grouped.schema).drop("__island")

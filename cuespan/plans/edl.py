@@ -17,7 +17,7 @@ from cuespan import constants as K
 from cuespan.functions import clock
 from cuespan.functions import text as tx
 from cuespan.operators.intervals import first_k, stab
-from cuespan.operators.merging import keep_apart
+from cuespan.operators.greedy import keep_apart
 from cuespan.operators.ordered import asof, has_within, lane, number_rows, scan
 from cuespan.plans.matches import span_numbers
 from cuespan.session import cut_lineage

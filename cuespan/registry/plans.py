@@ -168,7 +168,24 @@ def plan_single_best(spark, sf):
     return edl.single_best(pool(spark, sf), T.sentences(spark, sf), p, f).select("session", "src", "t_in", "t_out", "count", "caption")
 
 
-@query("plan_loot_run")
+#: Greedy picks, one after the other: a pickup is taken if none within 30 s is.
+GREEDY = """ro AS (SELECT *, row_number() OVER (PARTITION BY session, src ORDER BY worth, t_start, part_dir, line_no) AS rn FROM vl),
+gr(session, src, rn, taken, ok) AS (
+  SELECT DISTINCT session, src, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), false FROM ro
+  UNION ALL SELECT r.session, r.src, r.rn, CASE WHEN near THEN taken ELSE list_append(taken, r.t_start) END, NOT near
+  FROM (SELECT g.taken, ro.*, len(list_filter(g.taken, lambda x: abs(x - ro.t_start) < 30)) > 0 AS near FROM gr g JOIN ro ON ro.session = g.session AND ro.src = g.src AND ro.rn = g.rn + 1) r),
+kp AS (SELECT ro.* FROM ro JOIN gr ON gr.session = ro.session AND gr.src = ro.src AND gr.rn = ro.rn WHERE gr.ok)"""
+
+
+@query("plan_loot_run", f"""WITH RECURSIVE {T.TL}, {LOOTS}, {T.SE}, {GREEDY}, gs AS (
+  SELECT session, src, t_start - 6 AS t0, t_end + 8 AS t1, CAST(12 AS DOUBLE) AS cap, 'loot' AS kind, price, {LCAP} AS caption,
+    CASE WHEN worth <> 0 THEN '+' || CAST(round_even(worth / 10000, 0) AS BIGINT) || '万 ' ELSE '' END || coalesce(substr(hint, 1, 8), '高价值') AS price_tag,
+    row_number() OVER (PARTITION BY session ORDER BY worth, t_start, part_dir, line_no) AS seg FROM kp
+  UNION ALL SELECT session, src, t_start - 8, t_end + 6, 16, 'extract', NULL, '撤离成功！', NULL, 1 + (SELECT count(*) FROM kp WHERE kp.session = le.session) FROM le WHERE rn = 1),
+{snap_sql("gs", "sn")},
+cd AS (SELECT session, sum(worth) AS total FROM kp GROUP BY 1 HAVING sum(worth) > 0)
+SELECT session, seg, src, t_in, t_out, kind, price, caption, price_tag, NULL::VARCHAR AS card, NULL::BIGINT AS price_total FROM sn
+UNION ALL SELECT session, 1 + (SELECT count(*) FROM gs WHERE gs.session = cd.session), NULL, NULL, NULL, NULL, NULL, '本场搬砖合计 ≈ ' || CAST(round_even(total / 10000, 0) AS BIGINT) || '万哈夫币', NULL, 'profit', CAST(total AS BIGINT) FROM cd""")
 def plan_loot_run(spark, sf):
     r = edl.loot_run(pool(spark, sf), T.sentences(spark, sf))
     return r.select("session", "seg", "src", "t_in", "t_out", "kind", "price", "caption", "price_tag", "card", "price_total")

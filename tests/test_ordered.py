@@ -1,5 +1,6 @@
 """Two-level ordered operators against brute force, with chunks small enough to cross often."""
 
+import bisect
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespan.operators.distribution import percentiles, strict_rank
 from cuespan.operators.intervals import count_in_spans, merge_spans, stab
-from cuespan.operators.merging import keep_apart, keep_disjoint
+from cuespan.operators.greedy import keep_apart, keep_disjoint
 from cuespan.operators.ordered import asof, gap_groups, has_within, lane, nearest, number_rows, scan
 from cuespan.plans.detect import confirmed_increases
 from cuespan.plans.matches import roll_over
@@ -115,6 +116,52 @@ def test_spans_and_intervals(spark, df):
             assert isl[x[3]] == (k, n)
 
 
+def taken_in_order(spans, apart):
+    """The plain loop: spans in rank order, kept where there is room."""
+    kept, out = [], []
+    for i, (lo, hi) in enumerate(spans):
+        at = bisect.bisect_right(kept, (lo, hi))
+        if (at == 0 or lo - kept[at - 1][1] >= apart) and (at == len(kept) or kept[at][0] - hi >= apart):
+            kept.insert(at, (lo, hi))
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_equals_the_loop_on_long_spans_and_ties(spark, seed):
+    r = random.Random(seed)
+    data = [(f"k{r.randrange(2)}", float(t := r.randrange(3000)), float(t + r.choice([0, 1, 5, 40, 900])), r.randrange(4), i) for i in range(1200)]
+    data += [("k0", None, 5.0, 9, 5000), ("k0", 5.0, None, 9, 5001), (None, 7.0, 9.0, 1, 5002), (None, 8.0, 9.0, 2, 5003), ("k0", float("nan"), 9.0, 9, 5004)]
+    d = spark.createDataFrame(data, "k string, lo double, hi double, v int, id int").repartition(3)
+    whole = [x for x in data if x[1] is not None and x[2] is not None and x[1] == x[1]]
+    for apart in (True, False):
+        want = set()
+        for k in ("k0", "k1", None):
+            mine = sorted((x for x in whole if x[0] == k), key=lambda x: (-x[3], x[4]))
+            kept = taken_in_order([(x[1], x[1] if apart else x[2]) for x in mine], 7.0 if apart else 0.0)
+            want |= {mine[i][4] for i in kept}
+        if apart:
+            got = keep_apart(d.withColumn("o", -F.col("v")).where("hi is not null"), ("k",), "lo", ["o", "id"], 7.0, 50.0)
+        else:
+            got = keep_disjoint(d, ("k",), "lo", "hi", ["v", "id"], [False, True], 50.0)
+        assert {x.id for x in got.collect()} == want
+
+
+def test_greedy_decides_chains_over_many_slices(spark):
+    """Each row hangs on the one before it, over 40 slices."""
+    d = spark.range(4000).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("t"), "id")
+    got = sorted(r.id for r in keep_apart(d, ("k",), "t", ["t"], 7.0, 100.0).collect())
+    assert got == list(range(0, 4000, 7))
+
+
+def test_greedy_takes_one_island_of_a_million_rows(spark):
+    n = 1_000_000
+    d = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 0.5).alias("t"), F.abs(F.xxhash64("id")).alias("rank"), "id")
+    got = keep_apart(d, ("k",), "t", ["rank", "id"], 3.0, 20_000.0)
+    rows = d.orderBy("rank", "id").select("t").toPandas()["t"].tolist()
+    assert {r.t for r in got.select("t").collect()} == {rows[i] for i in taken_in_order([(t, t) for t in rows], 3.0)}
+
+
 def test_greedy_keepers(spark):
     data = rows(5, 120, 2, 900.0)
     d = spark.createDataFrame(data, "k string, t double, id int, v int")
