@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.session import cut_lineage
+from cuespan.session import stored
 
 OUT, WAITING, FREE = 0, 1, 2
 
@@ -89,7 +89,7 @@ def _verdicts(rows: DataFrame, keys: list[str], order: list[Column], apart: floa
 
 def _greedy(df: DataFrame, keys: Sequence[str], lo: str, hi: str, order: list[Column], apart: float, width: float) -> DataFrame:
     # written out: rows are told apart by a number that must not change between rounds
-    rows = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
+    rows = stored(df.withColumn("__id", F.monotonically_increasing_id()))
     use = [F.col(c).cast("double") for c in (lo, hi)]
     here = [c.isNotNull() & ~F.isnan(c) for c in use]
     left = rows.where(here[0] & here[1]).withColumns({"__lo": use[0], "__hi": use[1], "__taken": F.lit(False)})
@@ -97,7 +97,7 @@ def _greedy(df: DataFrame, keys: Sequence[str], lo: str, hi: str, order: list[Co
     while True:
         told = _verdicts(left, list(keys), order, apart, width, shift)
         known = left.join(told, "__id", "left").where("__v is null or __v > 0")
-        left = cut_lineage(known.withColumn("__taken", F.coalesce(F.col("__v") == FREE, F.lit(True))).drop("__v"))
+        left = stored(known.withColumn("__taken", F.coalesce(F.col("__v") == FREE, F.lit(True))).drop("__v"))
         if left.where("not __taken").isEmpty():
             return left.drop("__id", "__lo", "__hi", "__taken")
         width *= 2

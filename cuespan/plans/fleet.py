@@ -134,65 +134,59 @@ def stage_states(marks: DataFrame) -> DataFrame:
     )
 
 
-def progress(marks: DataFrame, durations: DataFrame | None = None, by_duration: bool = False) -> DataFrame:
-    """Fraction done per session, from stage weights and finished parts.
+def with_durations(marks: DataFrame, durations: DataFrame | None) -> DataFrame:
+    """Marks with ``sec``, the length of the part that they name, and ``all_s``, that of the session's parts.
 
-    Plain variant: parts counted, capped at 0.99. With ``by_duration`` detection is weighted by the
-    seconds of the finished parts (``durations``: session, filename, duration_s; parts counted
-    where a session has none), a known session without a download stage counts it as skipped, and a
-    finished chain is 1.0.
+    ``durations`` (session, filename, duration_s) is a table; the marks may be a stream.
     """
-    states = stage_states(marks)
-    if by_duration:
-        known = marks.where(F.col("mark") == "parts").groupBy("session").agg(F.max("ts").alias("ts"))
-        first = states.where(F.col("stage") == "download").select("session").distinct()
-        skipped = known.join(first, "session", "left_anti").select(
-            "session", F.lit("download").alias("stage"), F.lit("skip").alias("state"), "ts"
-        )
-        states = states.unionByName(skipped)
-    pairs = [F.lit(x) for kv in K.STAGE_WEIGHTS.items() for x in kv]
-    weight = F.element_at(F.create_map(*pairs), F.col("stage"))
-    finished = F.col("state").isin("done", "skip")
-    order = F.array_position(F.array(*[F.lit(x) for x in K.STAGES]), F.col("stage"))
-    per = states.groupBy("session").agg(
-        F.sum(F.when(finished, weight).otherwise(0.0)).alias("frac"),
-        F.min_by("stage", F.when(F.col("state") == "start", order)).alias("first_running"),
-    )
+    none = F.lit(None).cast("double")
+    if durations is None:
+        return marks.withColumns({"sec": none, "all_s": none})
+    d = durations.groupBy("session", F.col("filename").alias("shard")).agg(F.sum("duration_s").alias("sec"))
+    return marks.join(d, ["session", "shard"], "left").join(d.groupBy("session").agg(F.sum("sec").alias("all_s")), "session", "left")
+
+
+def tallies(marks: DataFrame) -> DataFrame:
+    """What the fraction depends on, a row a session: stage states, parts, finished parts and their seconds."""
+    states = stage_states(marks).groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("stage", "state"))).alias("states"))
     at = F.struct("ts", "line_no")
+    of = {m: F.col("mark") == m for m in ("parts", "detected", "knocked", "end")}
+    seen = marks.where(of["detected"]).groupBy("session", "shard").agg(F.max("sec").alias("sec"))
+    done = seen.groupBy("session").agg(F.sum("sec").alias("done_s"))
     counts = marks.groupBy("session").agg(
-        F.max_by("n", F.when(F.col("mark") == "parts", at)).alias("parts"),
-        F.count_distinct(F.when(F.col("mark") == "detected", F.col("shard"))).alias("det"),
-        F.count_distinct(F.when(F.col("mark") == "knocked", F.col("shard"))).alias("kd"),
-        F.max(F.col("mark") == "end").alias("ended"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last"),
-        F.max_by(
-            F.struct("mark", "stage"), F.when(F.col("mark").isin("start", "done"), at)
-        ).alias("latest"),
+        F.max_by("n", F.when(of["parts"], at)).alias("parts"), F.max(of["parts"]).alias("known"),
+        F.count_distinct(F.when(of["detected"], F.col("shard"))).alias("det"),
+        F.count_distinct(F.when(of["knocked"], F.col("shard"))).alias("kd"),
+        F.max(of["end"]).alias("ended"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last"),
+        F.max_by(F.struct("mark", "stage"), F.when(F.col("mark").isin("start", "done"), at)).alias("latest"), F.max("all_s").alias("all_s"),
     )
-    rows = counts.join(per, "session", "left")
-    cur = F.col("first_running")
-    if not by_duration:
+    return counts.join(states, "session", "left").join(done, "session", "left")
+
+
+def fraction_of(rows: DataFrame, by_duration: bool = False) -> DataFrame:
+    """``session``, ``cur``, ``frac``, ``eta_sec`` of tallies, which a table or a stream gives."""
+    state = {x: F.try_element_at("states", F.lit(x)) for x in K.STAGES}
+    if by_duration:
+        state["download"] = F.coalesce(state["download"], F.when(F.col("known"), "skip"))
+    finished = sum((F.when(state[x].isin("done", "skip"), w).otherwise(0.0) for x, w in K.STAGE_WEIGHTS.items()), F.lit(0.0))
+    if by_duration:
+        cur = F.coalesce(*[F.when(state[x] == "start", x) for x in K.STAGES])
+    else:
         cur = F.when(F.col("latest.mark") == "start", F.col("latest.stage"))
-    rows = rows.withColumn("cur", cur)
+    rows = rows.withColumns({"cur": cur, "done": finished})
     share = F.least(F.lit(1.0), F.col("det") / F.col("parts"))
-    if by_duration and durations is not None:
-        d = durations.select("session", F.col("filename").alias("shard"), "duration_s")
-        total = d.groupBy("session").agg(F.sum("duration_s").alias("all_s"))
-        seen = marks.where(F.col("mark") == "detected").select("session", "shard").distinct()
-        got = d.join(seen, ["session", "shard"]).groupBy("session").agg(F.sum("duration_s").alias("done_s"))
-        rows = rows.join(total, "session", "left").join(got, "session", "left")
+    if by_duration:
         by_sec = F.least(F.lit(1.0), F.coalesce("done_s", F.lit(0.0)) / F.col("all_s"))
         share = F.when(F.coalesce("all_s", F.lit(0.0)) > 0, by_sec).otherwise(share)
-    cur_w = F.element_at(F.create_map(*pairs), F.col("cur"))
+    cur_w = F.element_at(F.create_map(*[F.lit(x) for kv in K.STAGE_WEIGHTS.items() for x in kv]), F.col("cur"))
     running = (
         F.when((F.col("cur") == "detect") & share.isNotNull(), cur_w * share)
-        .when((F.col("cur") == "knockdowns") & F.col("parts").isNotNull(),
-              cur_w * F.least(F.lit(1.0), F.col("kd") / F.col("parts")))
+        .when((F.col("cur") == "knockdowns") & F.col("parts").isNotNull(), cur_w * F.least(F.lit(1.0), F.col("kd") / F.col("parts")))
     )
     half = cur_w * 0.5
     if by_duration:
         half = F.when(F.col("cur") != "detect", half)
-    extra = F.coalesce(running, half, F.lit(0.0))
-    frac = F.least(F.lit(0.99), F.coalesce("frac", F.lit(0.0)) + extra)
+    frac = F.least(F.lit(0.99), F.col("done") + F.coalesce(running, half, F.lit(0.0)))
     if by_duration:
         frac = F.when(F.col("ended"), 1.0).otherwise(frac)
     floor = 0.03 if by_duration else 0.05
@@ -201,6 +195,17 @@ def progress(marks: DataFrame, durations: DataFrame | None = None, by_duration:
     return rows.select("session", "cur", frac.alias("frac"), eta.alias("eta_sec"))
 
 
+def progress(marks: DataFrame, durations: DataFrame | None = None, by_duration: bool = False) -> DataFrame:
+    """Fraction done per session, from stage weights and finished parts.
+
+    Plain variant: parts counted, capped at 0.99. With ``by_duration`` detection is weighted by the
+    seconds of the finished parts (``durations``: session, filename, duration_s; parts counted
+    where a session has none), a known session without a download stage counts it as skipped, and a
+    finished chain is 1.0.
+    """
+    return fraction_of(tallies(with_durations(marks, durations if by_duration else None)), by_duration)
+
+
 def outcome(history: DataFrame, timeout_sec: float = 3600.0) -> DataFrame:
     """First terminal state per upload, ``timeout`` where none came in time.
 

@@ -2,154 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuespan.operators.linkage import clusters as cluster
 from cuespan.operators.ordered import lane, scan
-from cuespan.session import cut_lineage
 
 PART = ("session", "src")
-BLOCK = 2048
-
-
-def _nearest(ma: np.ndarray, ca: np.ndarray, mb: np.ndarray, cb: np.ndarray):
-    """Nearest column cluster of each row cluster (smaller id on a tie) and its distance."""
-    d = np.round(1.0 - ma @ mb.T, 12)
-    d[ca[:, None] == cb[None, :]] = np.inf
-    order = np.argsort(cb, kind="stable")
-    j = order[np.argmin(d[:, order], axis=1)]
-    return cb[j], d[np.arange(len(ca)), j]
-
-
-def _best_partner(threshold: float):
-    """Nearest other cluster of each row of block A within block B."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["grp", "cid", "other", "dist"])
-        ca, cb = a["cid"].to_numpy(), b["cid"].to_numpy()
-        other, dist = _nearest(np.stack(a["mean"]), ca, np.stack(b["mean"]), cb)
-        ok = dist < threshold
-        return pd.DataFrame(
-            {"grp": pdf["grp"].iloc[0], "cid": ca[ok], "other": other[ok], "dist": dist[ok]}
-        )
-
-    return match
-
-
-def _cluster_small(threshold: float):
-    """The same rounds of mutual merges for one group that fits a block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid", kind="stable")
-        member = pdf["cid"].to_numpy().copy()
-        ids, means = pdf["cid"].to_numpy().copy(), np.stack(pdf["mean"])
-        sizes = np.ones(len(ids))
-        while len(ids) > 1:
-            other, dist = _nearest(means, ids, means, ids)
-            at = np.searchsorted(ids, other)
-            rows = np.arange(len(ids))
-            first = (dist < threshold) & (at[at] == rows) & (rows < at)
-            if not first.any():
-                break
-            keep, gone = rows[first], at[first]
-            both = sizes[keep] + sizes[gone]
-            means[keep] = (
-                means[keep] * (sizes[keep] / both)[:, None]
-                + means[gone] * (sizes[gone] / both)[:, None]
-            )
-            sizes[keep] = both
-            moved = dict(zip(ids[gone], ids[keep]))
-            member = np.array([moved.get(m, m) for m in member])
-            alive = np.setdiff1d(rows, gone)
-            ids, means, sizes = ids[alive], means[alive], sizes[alive]
-        return pd.DataFrame({"grp": pdf["grp"], "id": pdf["cid"], "cluster": member})
-
-    return run
-
-
-def cluster(
-    vectors: DataFrame, threshold: float = 0.65, block: int = BLOCK
-) -> DataFrame:
-    """Average-linkage clusters of vectors (grp, id, vec) below a cosine distance threshold.
-
-    With unit vectors the average distance between two clusters is one minus the product of their
-    mean vectors, so a cluster is only its mean and its size. Average linkage is reducible: merging
-    every pair of mutually nearest clusters in one round gives the same tree as merging one pair at
-    a time. A group of at most ``block`` vectors runs its rounds in one task. Larger groups run
-    them as Spark jobs: they are cut into blocks, pairs of blocks are compared by matrix products,
-    and only the nearest partner of each row leaves a task. Returns (grp, id, cluster), the cluster
-    named by its smallest id.
-    """
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.withColumn("__n", norm).select(
-        "grp", F.col("id").cast("long").alias("cid"),
-        F.transform("vec", lambda x: x.cast("double") / F.col("__n")).alias("mean"),
-    )
-    large = vectors.groupBy("grp").count().where(F.col("count") > block).select("grp")
-    grp_type = vectors.schema["grp"].dataType.simpleString()
-    out = (
-        unit.join(large, "grp", "left_anti")
-        .groupBy("grp")
-        .applyInPandas(_cluster_small(threshold), f"grp {grp_type}, id long, cluster long")
-    )
-    if large.isEmpty():
-        return out
-    big = unit.join(large, "grp", "left_semi")
-    return out.unionByName(_cluster_large(big, threshold, block))
-
-
-def _cluster_large(unit: DataFrame, threshold: float, block: int) -> DataFrame:
-    state = cut_lineage(unit.withColumn("size", F.lit(1).cast("long")))
-    member = unit.select("grp", F.col("cid").alias("id"), "cid")
-    while True:  # every round merges at least one pair
-        pairs = cut_lineage(mutual_pairs(state, threshold, block))
-        if pairs.isEmpty():
-            return member.select("grp", "id", F.col("cid").alias("cluster"))
-        ids = pairs.select("grp", F.col("gone").alias("cid"), F.col("kept").alias("__to"))
-        moved = state.join(ids, ["grp", "cid"], "left").withColumn("cid", F.coalesce("__to", "cid"))
-        # pairs are disjoint, so at most two rows meet under one id
-        both = F.array_sort(F.collect_list(F.struct("size", "mean")))
-        met = moved.groupBy("grp", "cid").agg(F.sum("size").alias("all"), both.alias("m"))
-        x, y = F.get("m", F.lit(0)), F.get("m", F.lit(1))
-        mean = F.when(F.size("m") == 1, x.getField("mean")).otherwise(
-            F.zip_with(
-                x.getField("mean"), y.getField("mean"),
-                lambda u, v: (u * x.getField("size") + v * y.getField("size")) / F.col("all"),
-            )
-        )
-        state = cut_lineage(met.select("grp", "cid", mean.alias("mean"), F.col("all").alias("size")))
-        member = cut_lineage(
-            member.join(ids, ["grp", "cid"], "left").select(
-                "grp", "id", F.coalesce("__to", "cid").alias("cid")
-            )
-        )
-
-
-def mutual_pairs(state: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (grp, kept, gone) of mutually nearest clusters within the threshold."""
-    sizes = state.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("nb"))
-    rows = state.join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)
-    a = rows.select("grp", "cid", "mean", F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.lit(0).alias("side"))
-    b = rows.select("grp", "cid", "mean", F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.lit(1).alias("side"))
-    grp_type = state.schema["grp"].dataType.simpleString()
-    near = (
-        a.unionByName(b)
-        .groupBy("grp", "ba", "bb")
-        .applyInPandas(
-            _best_partner(threshold), f"grp {grp_type}, cid long, other long, dist double"
-        )
-        .groupBy("grp", "cid")
-        .agg(F.min_by("other", F.struct("dist", "other")).alias("other"))
-    )
-    back = near.select("grp", F.col("cid").alias("other"), F.col("other").alias("cid"))
-    return near.join(back, ["grp", "cid", "other"], "left_semi").where(
-        F.col("cid") < F.col("other")
-    ).select("grp", F.col("cid").alias("kept"), F.col("other").alias("gone"))
 
 
 def dominant(df: DataFrame, keys: list[str], label: str, weight: str) -> DataFrame:
@@ -174,10 +33,10 @@ def label_speakers(
     prints = embeddings.join(long_ones.select(*PART, "id", "start", "end"), [*PART, "id"])
     grp = F.concat_ws("\u0001", *PART)
     vec = prints.select(grp.alias("grp"), F.col("id").cast("long").alias("id"), F.col("embedding").alias("vec"))
-    clusters = cluster(vec, threshold)
+    found = cluster(vec, threshold)
     spoken = prints.select(
         grp.alias("grp"), F.col("id").cast("long").alias("id"), (F.col("end") - F.col("start")).alias("sec")
-    ).join(clusters, ["grp", "id"])
+    ).join(found, ["grp", "id"])
     enough = spoken.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     host = dominant(spoken.join(enough.select("grp"), "grp", "left_semi"), ["grp"], "cluster", "sec")
     marked = spoken.join(host.select("grp", F.col("cluster").alias("host")), "grp").select(

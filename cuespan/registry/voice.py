@@ -153,7 +153,22 @@ def pitch_baseline(spark, sf):
     return voice.f0_baseline(w, a, base)
 
 
-@query("speaker_clusters")
+def linkage_sql(vectors: str) -> str:
+    """CTEs that merge the nearest pair of every group, one pair a step; ``vectors`` gives (grp, id, v)."""
+    return f"""u AS (SELECT grp, id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM ({vectors})),
+st(step, grp, cid, n, sm, members) AS (
+  SELECT 0, grp, id, 1, v, [id] FROM u
+  UNION ALL
+  (WITH pr AS (SELECT a.grp, a.cid AS x, b.cid AS y, round(1 - list_inner_product(a.sm, b.sm) / (a.n * b.n), 12) AS d FROM st a JOIN st b ON a.grp = b.grp AND a.cid < b.cid),
+   bp AS (SELECT grp, arg_min({{'x': x, 'y': y}}, {{'d': d, 'x': x, 'y': y}}) AS p FROM pr WHERE d < 0.65 GROUP BY grp)
+   SELECT a.step + 1, a.grp, a.cid, CASE WHEN a.cid = p.x THEN a.n + b.n ELSE a.n END, CASE WHEN a.cid = p.x THEN list_transform(list_zip(a.sm, b.sm), lambda z: z[1] + z[2]) ELSE a.sm END,
+     CASE WHEN a.cid = p.x THEN list_concat(a.members, b.members) ELSE a.members END
+   FROM st a JOIN bp ON bp.grp = a.grp LEFT JOIN st b ON b.grp = a.grp AND b.cid = p.y AND a.cid = p.x WHERE a.cid <> p.y)),
+la AS (SELECT *, max(step) OVER (PARTITION BY grp) AS top FROM st),
+ac AS (SELECT grp, unnest(members) AS id, cid AS cluster FROM la WHERE step = top)"""
+
+
+@query("speaker_clusters", f"""WITH RECURSIVE {linkage_sql("SELECT label AS grp, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")} SELECT grp, id, cluster FROM ac""")
 def speaker_clusters(spark, sf):
     e = T.table(spark, sf, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return speakers.cluster(e, 0.65)
@@ -166,7 +181,16 @@ def dominant_label(spark, sf):
     return speakers.dominant(e, ["src"], "label", "sec")
 
 
-@query("labelled_speakers")
+PRINTS = """SELECT session || chr(1) || src AS grp, CAST(id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM se
+  JOIN embeddings ON vec_id = (CAST(substr(src, 2) AS BIGINT) * 7 + id) % (SELECT count(*) FROM embeddings) WHERE "end" - start >= 1.5"""
+
+
+@query("labelled_speakers", f"""WITH RECURSIVE {T.SE}, {linkage_sql(PRINTS)},
+sp AS (SELECT ac.*, "end" - start AS sec, count(*) OVER (PARTITION BY ac.grp) AS many FROM ac JOIN se ON ac.grp = session || chr(1) || src AND ac.id = se.id),
+ho AS (SELECT grp, cluster AS host FROM sp WHERE many >= 2 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(sum(sec), 6) DESC, cluster) = 1),
+mk AS (SELECT sp.grp, sp.id, CASE WHEN cluster = host THEN 'host' ELSE 'other' END AS mark FROM sp JOIN ho ON ho.grp = sp.grp)
+SELECT session, src, se.id, start, "end", text, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY session, src ORDER BY se.id ROWS UNBOUNDED PRECEDING), 'host') AS speaker
+FROM se LEFT JOIN mk ON mk.grp = session || chr(1) || src AND mk.id = se.id""")
 def labelled_speakers(spark, sf):
     s = T.sentences(spark, sf)
     v = T.table(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")

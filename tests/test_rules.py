@@ -274,6 +274,34 @@ def test_clusters_large_equals_small(spark):
         assert {(g, i): min(grp) for grp in groups for i in grp} == {k: v for k, v in small.items() if k[0] == g}
 
 
+def test_linkage_in_small_blocks_equals_one_block(spark):
+    """Random, clustered and repeated vectors; blocks so small that most merges cross them. Ties go by id in both."""
+    for seed in (0, 2):
+        rng = np.random.default_rng(seed)
+        centers = rng.normal(size=(6, 8))
+        x = np.concatenate([centers[rng.integers(6, size=70)] + rng.normal(scale=[0.1, 0.6, 2.0][seed], size=(70, 8)), rng.normal(size=(30, 8))])
+        x[90:95] = x[3]
+        rows = [(f"g{i % 2}", i, [float(v) for v in x[i]]) for i in range(100)] + [("g0", 200, [0.0] * 8), ("g0", 201, None), ("g1", 202, [float("nan")] * 8), ("lone", 5, [1.0] * 8)]
+        df = spark.createDataFrame(rows, "grp string, id long, vec array<float>")
+        whole = {(r.grp, r.id): r.cluster for r in speakers.cluster(df, 0.65).collect()}
+        parts = {(r.grp, r.id): r.cluster for r in speakers.cluster(df, 0.65, block=5).collect()}
+        assert whole == parts and len(whole) == 104
+        assert all(whole[g, i] == i for g, i in (("g0", 200), ("g0", 201), ("g1", 202), ("lone", 5)))
+        assert len(set(whole.values())) < 80
+
+
+def test_linkage_compares_few_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    n, centers = 1500, rng.normal(size=(40, 32))
+    x = centers[rng.integers(40, size=n)] + rng.normal(scale=0.05, size=(n, 32))
+    df = spark.createDataFrame([("g", i, [float(v) for v in x[i]]) for i in range(n)], "grp string, id long, vec array<float>")
+    pairs = []
+    got = speakers.cluster(df, 0.3, 64, pairs)
+    sizes = sorted(r["count"] for r in got.groupBy("cluster").count().collect())
+    assert len(sizes) == 40
+    assert pairs[0] < n * n / 4 and sum(pairs) < n * n * 0.7  # of n * n a round without bounds and kept neighbours
+
+
 def test_loadout_vote(spark):
     toast, hud = {"cx": 960.0, "cy": 170.0}, {"cx": 1680.0, "cy": 1000.0}
     rows = [(100.0, 0, "出战干员切换为骇爪", toast)] + [(240.0 + 5 * i, 0, "M4A1", hud) for i in range(3)] + [(255.0, 1, "坠星者", hud)]
