@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ _SQL = "doc_id long, start long, length long, doc_tokens long, sequence_id long,
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: A full stop or comma that ends a word after a letter is a part of its own.
+_STOP = re.compile(rb"(?<=[a-z])[.,](?![^ \t\n\x0b\x0c\r])")
 _PLAIN = regex.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
 
 
@@ -32,11 +35,11 @@ class WordTokens(dict):
     forgotten beyond ``limit`` words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in order. Words of Latin letters, for which normalising is lower-casing, go to the merge model
-    part by part; all others, and any that may hold a special token, go to the whole tokenizer.
+    words in order. Words of small ASCII letters go to the merge model as they are, other words of Latin letters, for which
+    normalising is lower-casing, part by part; all others, and any that may hold a special token, go to the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.whole, self.limit = Tokenizer.from_file(path), limit
@@ -44,35 +47,44 @@ class WordTokens(dict):
         self.parts: dict[str, bytes] = {}
 
     def learn(self, new: set[bytes]) -> None:
-        rest, split = [], []
+        plain, rest, split = [], [], []
         for w in new:
+            if w.isalpha():  # ASCII letters, as bytes know no others
+                (plain if w.islower() else rest).append(w)
+                continue
             t = w.decode()
-            if t.isascii() and t.isalpha():
-                split.append((w, [t.lower()]))
-            elif t.isascii() and t[:-1].isalpha() and t[-1] in ".,":
-                split.append((w, [t[:-1].lower(), t[-1]]))
-            elif _PLAIN.fullmatch(t) and "<|" not in t:
-                split.append((w, _PARTS.findall(t.lower())))
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                if t.isalpha() and t.islower():
+                    plain.append(w)
+                else:
+                    split.append((w, _PARTS.findall(t.lower())))
             else:
                 rest.append(w)
+        self.encode(self, plain, plain)
         missing = list({p for _, ps in split for p in ps if p not in self.parts})
-        shown = [p if p.isascii() else "".join(map(_LETTERS.__getitem__, p.encode())) for p in missing]
-        for p, e in zip(missing, self.model.encode_batch_fast(shown, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+        self.encode(self.parts, missing, [p.encode() for p in missing])
         for w, ps in split:
             self[w] = self.parts[ps[0]] if len(ps) == 1 else b"".join(map(self.parts.__getitem__, ps))
         for w, e in zip(rest, self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             self[w] = struct.pack(f"<{len(e)}I", *e.ids)
 
+    def encode(self, into: dict, names: list, words: list[bytes]) -> None:
+        """Ids of ``words``, which the merge model takes as they are, under ``names``; thousands in one call."""
+        for k in range(0, len(words), 20_000):
+            e = self.model.encode([w.decode("latin-1").translate(_LETTERS) for w in words[k : k + 20_000]], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(words[k : k + 20_000])), "right")).tolist()
+            into.update(zip(names[k : k + 20_000], map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
     def ids(self, texts: list[bytes], step: int = 1000) -> Iterator[bytes]:
         """Ids of each text. Words that are new are learned for ``step`` texts at once."""
         for k in range(0, len(texts), step):
-            split = [t.split() for t in texts[k : k + step]]
+            # lower-casing and cut-off stops leave far fewer distinct words; ids are the same
+            split = [(t if b"<|" in t else _STOP.sub(rb" \g<0>", t.lower())).split() for t in texts[k : k + step]]
             if len(self) > self.limit:
                 self.clear()
                 self.parts.clear()
-            self.learn(set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(split))))
+            self.learn(set(itertools.filterfalse(self.__contains__, set(itertools.chain.from_iterable(split)))))
             for words in split:
                 yield b"".join(map(self.__getitem__, words))
 
