@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, partitions, remembered, runs, scatter, shingles, small_batches, staged, texts_of
+from .common import WordHashes, batch_of, column_of, own_name, partitions, remembered, runs, scatter, shingles, small_batches, staged, texts_of
 from .components import components
 
 #: Signature: a pair at the threshold of 0.75 agrees in none of BANDS rows of ROWS minima with probability
@@ -298,7 +298,8 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         links = links.union(more)
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
     named = classes.select("cls", "rep", "row").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min(F.struct("rep", "row")).alias("least"))
+    # written out: the join's sides are then plain shuffles, and Spark splits a large component's rows
+    least = staged(named.groupBy("root").agg(F.min(F.struct("rep", "row")).alias("least")), "least-members")
     named = named.join(least, "root").select("cls", F.col("least.rep").alias("component_id"), F.col("least.row").alias("first"))
     linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = signed.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("cls")).alias("cls"))
@@ -308,5 +309,6 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of near duplicates; rows that link with nothing all stay."""
-    rest = shingle_groups(docs).where("kept").select(F.col("row").alias("__row")).hint("merge")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(rest, "__row", "left_semi").select(*docs.columns)
+    row = own_name("row")
+    rest = shingle_groups(docs).where("kept").select(F.col("row").alias(row)).hint("merge")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(rest, row, "left_semi").select(*docs.columns)
