@@ -38,6 +38,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_name(what: str) -> str:
+    """A column name that no table has."""
+    return f"__{what}_{uuid.uuid4().hex}"
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts go to Python in batches of at most ``rows`` rows for the rest of the session: with Spark's 10,000, long
     texts fill an executor's memory outside the heap. A smaller setting of the user stays."""

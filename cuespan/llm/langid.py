@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, column_of, remembered, small_batches
+from .common import batch_of, column_of, own_name, remembered, small_batches
 
 BLANK, LETTER = 0x20, 1 << 31
 #: N-grams that a profile and a text are ranked by; rows of a task's first cut before a language's profile is chosen.
@@ -164,6 +163,6 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             out.append({"lang": "und" if lang is None else lang, "score": score})
         return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
-    found = f"__guess_{uuid.uuid4().hex}"
+    found = own_name("guess")
     rows = docs.withColumn(found, guess(F.col("text").cast("string")))
     return rows.withColumns({"lang_pred": F.col(f"{found}.lang"), "score": F.col(f"{found}.score")}).drop(found)

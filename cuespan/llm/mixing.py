@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import own_name, partitions, staged
 
 
 def shares_from_sizes(sizes: DataFrame, power: float = 0.5, slots: int = 256) -> DataFrame:
@@ -110,7 +110,8 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 16_384, s
     out = placed.join(slots, F.col("source").eqNullSafe(F.col("__ss")) & (F.col("block") == F.col("__sb")))
     if set(names) <= {"source", "doc_id"}:
         return out.select(*names, "block", "slot", "before")
-    return docs.select(*names, F.monotonically_increasing_id().alias("__row")).join(out.select("__row", "block", "slot", "before"), "__row").drop("__row")
+    row = own_name("row")
+    return docs.select(*names, F.monotonically_increasing_id().alias(row)).join(out.select(F.col("__row").alias(row), "block", "slot", "before"), row).drop(row)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

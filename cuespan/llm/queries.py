@@ -53,7 +53,10 @@ def op2_pfair_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
-    """Every assistant turn is a call, the turn after it its result: words are counted, or the text looked up."""
+    """Every assistant turn is a call, every other turn a result, of the call that is the turn before, if it is one.
+
+    A row without a conversation or a turn has no id, and links with nothing.
+    """
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     said = F.coalesce("text", F.lit(""))
@@ -63,7 +66,7 @@ def op4_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit('{"n": '), F.length(said).cast("string"), F.lit(' , "query":'), chat.quoted(said), F.lit(', "exact":'), (F.length(said) % 2 == 0).cast("string"), F.lit("}")).alias("arguments"),
         F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("after"),
     )
-    results = turns.where("role <> 'assistant' and turn > 0").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), "text")
+    results = turns.where("coalesce(role, '') <> 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), "text")
     schemas = spark.createDataFrame(
         [("count", "n", "integer", True), ("count", "query", "string", True), ("count", "exact", "boolean", False),
          ("lookup", "query", "string", True), ("lookup", "limit", "integer", True), ("lookup", "n", "number", False)], chat.SCHEMAS)
@@ -118,7 +121,7 @@ ORACLE = {
     "op4_tool_call_linking": """WITH t AS (SELECT conv_id, turn, role, text, length(coalesce(text, '')) AS n FROM conversations),
 c AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS isle FROM t WHERE role = 'assistant'),
 d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, isle ORDER BY turn) - 1 AS depth FROM c),
-r AS (SELECT conv_id, turn, text FROM t WHERE role <> 'assistant' AND turn > 0),
+r AS (SELECT conv_id, turn, text FROM t WHERE coalesce(role, '') <> 'assistant'),
 j AS (
   SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, 'c' || coalesce(d.conv_id, r.conv_id) || '-' || coalesce(d.turn, r.turn - 1) AS call_id,
     d.turn AS call_turn, r.turn AS result_turn, CASE d.n % 3 WHEN 0 THEN 'count' WHEN 1 THEN 'lookup' WHEN 2 THEN 'rank' END AS tool,
@@ -141,16 +144,17 @@ n AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_
 s AS (SELECT d.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN r ON r.rid = d.rid),
-m AS (SELECT rid, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word_chars']) AS measure, unnest([0.1, 0.4, 0.3, 12.0]) AS floor,
+m AS (SELECT rid, lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word_chars']) AS measure, unnest([0.0125, 0.05, 0.034, 0.05]) AS guard,
   unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS v FROM s),
-b AS (SELECT *, CASE WHEN v > 0.000001 THEN CAST(ceil(ln(v) / ln(CAST(1.02 AS DOUBLE))) AS INT) END AS bucket FROM m),
+b AS (SELECT *, CASE WHEN v > 0.000001 THEN CAST(ceil(ln(v) / ln(CAST(1.005 AS DOUBLE))) AS INT) END AS bucket FROM m),
 k AS (SELECT *, unnest([lang || chr(2) || source, lang, '']) AS grp, unnest([1, 2, 3]) AS level FROM b),
-c AS (SELECT level, grp, measure, coalesce(pow(CAST(1.02 AS DOUBLE), bucket), 0) AS value, count(*) AS n FROM k GROUP BY level, grp, measure, bucket),
+c AS (SELECT level, grp, measure, max(guard) AS guard, coalesce(pow(CAST(1.005 AS DOUBLE), bucket), 0) AS value, count(*) AS n FROM k GROUP BY level, grp, measure, bucket),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, grp, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY level, grp, measure) AS total FROM c),
-q AS (SELECT level, grp, measure, max(total) AS total, min(value) FILTER (upto >= 0.25 * total) AS q0, min(value) FILTER (upto >= 0.75 * total) AS q1 FROM u GROUP BY 1, 2, 3),
-f AS (SELECT k.rid, k.measure, max(k.v) AS v, greatest(max(k.floor), arg_min(q.q1 + 3 * (q.q1 - q.q0), k.level) FILTER (q.total >= 200 OR k.level = 3)) AS cut
+q AS (SELECT level, grp, measure, max(total) AS total, max(guard) AS guard, min(value) FILTER (upto >= 0.25 * total) AS q0, min(value) FILTER (upto >= 0.75 * total) AS q1 FROM u GROUP BY 1, 2, 3),
+f AS (SELECT k.rid, k.measure, max(k.v) AS v, arg_min(q.q1 + 8 * greatest(q.q1 - q.q0, q.guard), k.level) FILTER (q.total >= 200 OR k.level = 3) AS cut,
+    arg_min(q.q0 - 8 * greatest(q.q1 - q.q0, q.guard), k.level) FILTER (q.total >= 200 OR k.level = 3) AS low
   FROM k JOIN q ON q.level = k.level AND q.grp = k.grp AND q.measure = k.measure GROUP BY 1, 2),
-o AS (SELECT rid, bool_and(v <= cut * CAST(1.02 AS DOUBLE)) AS inside FROM f GROUP BY 1)
+o AS (SELECT rid, bool_and(v <= cut * CAST(1.005 AS DOUBLE) AND v * CAST(1.005 AS DOUBLE) >= low) AS inside FROM f GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND inside AS kept FROM s JOIN o ON o.rid = s.rid""",

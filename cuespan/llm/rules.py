@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, column_of, remembered, rolling, small_batches, staged, texts_of
+from .common import WordHashes, batch_of, column_of, own_name, remembered, rolling, small_batches, staged, texts_of
 
-#: Sketch resolution: a value's bucket bounds it within 2 % of itself.
-GAMMA = 1.02
+#: Sketch resolution: a value's bucket bounds it within half a percent of itself.
+GAMMA = 1.005
 
-#: Measures that have an upper cutoff, with the cutoff below which none is set.
-FLOORS = {"symbol_share": 0.1, "dup_line_share": 0.4, "repeat_share": 0.3, "mean_word_chars": 12.0}
+#: Measures, with the least spread that a group's middle half is taken to have: where its quartiles coincide, noise is no outlier.
+GUARDS = {"symbol_share": 0.0125, "dup_line_share": 0.05, "repeat_share": 0.034, "mean_word_chars": 0.05}
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _ARROW = pa.struct([(x.split()[0], pa.int64()) for x in _STATS.split(", ")])
@@ -120,41 +120,45 @@ def quantiles(sketches: DataFrame, keys: list[str], shares: tuple[float, ...]) -
     return run.groupBy(*keys, "measure").agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") >= s * F.col("total"), F.col("value"))).alias(f"q{i}") for i, s in enumerate(shares)])
 
 
-def cutoffs(sketches: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFrame:
-    """``lang``, ``source`` and one upper cutoff per measure.
+def cutoffs(sketches: DataFrame, least_rows: int = 200, reach: float = 8.0) -> DataFrame:
+    """``lang``, ``source`` and a lower and an upper cutoff per measure (``min_*``, ``max_*``).
 
-    Cutoff: the upper quartile plus ``reach`` times the quartile distance, but never below the
-    measure's floor. Groups of under ``least_rows`` documents take the cutoff of their language,
-    languages that small that of the whole corpus: both from merged sketches of the groups.
+    Cutoffs: ``reach`` times the quartile distance outside the quartiles; a distance below the measure's guard counts as the guard.
+    Groups of under ``least_rows`` documents take the cutoffs of their language, languages that small those of the
+    whole corpus: both from merged sketches of the groups.
     """
+    guard = F.create_map(*[x for k, v in GUARDS.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
 
     def fences(keys: list[str], name: str) -> DataFrame:
         q = quantiles(merge(sketches, keys), keys, (0.25, 0.75))
-        fence = F.col("q1") + reach * (F.col("q1") - F.col("q0"))
-        return q.select(*keys, "measure", F.when(F.col("n") >= least_rows, fence).alias(name) if keys else fence.alias(name))
+        spread = reach * F.greatest(F.col("q1") - F.col("q0"), guard)
+        both = F.struct((F.col("q0") - spread).alias("low"), (F.col("q1") + spread).alias("high"))
+        return q.select(*keys, "measure", F.when(F.col("n") >= least_rows, both).alias(name) if keys else both.alias(name))
 
     own = fences(["lang", "source"], "own").withColumn("l", F.coalesce("lang", F.lit("\0")))
     lang = fences(["lang"], "of_lang").withColumn("l", F.coalesce("lang", F.lit("\0"))).drop("lang")
     joined = own.join(lang, ["l", "measure"], "left").join(fences([], "of_all"), "measure", "left")
-    floor = F.create_map(*[x for k, v in FLOORS.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
-    cut = F.greatest(floor, F.coalesce("own", "of_lang", "of_all"))
-    return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, cut)).alias(f"__max_{m}") for m in FLOORS])
+    cut = F.coalesce("own", "of_lang", "of_all")
+    each = [F.max(F.when(F.col("measure") == m, cut[end])).alias(f"{name}_{m}") for m in GUARDS for name, end in (("min", "low"), ("max", "high"))]
+    return joined.groupBy("lang", "source").agg(*each)
 
 
-def within(get) -> Column:  # noqa: ANN001
-    """Every measure is at most its cutoff; a bucket's width counts as equal."""
+def _within(get, tag: str) -> Column:  # noqa: ANN001
+    """Every measure lies between its cutoffs; a bucket's width counts as equal."""
     ok = F.lit(True)
     for k, v in measures(get).items():
-        ok = ok & (v <= F.col(f"__max_{k}") * GAMMA)
+        ok = ok & (v <= F.col(f"{tag}max_{k}") * GAMMA) & (v * GAMMA >= F.col(f"{tag}min_{k}"))
     return ok
 
 
-def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    cuts = cuts.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"__max_{m}" for m in FLOORS])
-    return rows.join(cuts, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
+def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with the cutoffs of their group, in columns whose names start with the second value."""
+    tag = own_name("cut")
+    cuts = cuts.select(*[F.col(c).alias(tag + c) for c in cuts.columns])
+    return rows.join(cuts, rows["lang"].eqNullSafe(F.col(f"{tag}lang")) & rows["source"].eqNullSafe(F.col(f"{tag}source")), "left"), tag
 
 
-def judge(stats: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFrame:
+def judge(stats: DataFrame, least_rows: int = 200, reach: float = 8.0) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` for every row of ``text_stats``.
 
     A text without words fails the base. Null language or source is a group of its own. Repeated rows
@@ -162,13 +166,18 @@ def judge(stats: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFr
     """
     cuts = staged(cutoffs(sketch(stats, ["lang", "source"]), least_rows, reach), "cutoffs")
     failed = base_failed(F.col)
-    return _with_cutoffs(stats, cuts).withColumns({"base_failed": failed, "kept": ~failed & within(F.col)})
+    rows, tag = _with_cutoffs(stats, cuts)
+    return rows.select(*stats.columns, failed.alias("base_failed"), (~failed & _within(F.col, tag)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, least_rows: int = 200, reach: float = 3.0) -> DataFrame:
-    """The documents that ``judge`` keeps, with the columns they came with."""
+def keep_good(docs: DataFrame, least_rows: int = 200, reach: float = 8.0) -> DataFrame:
+    """The documents that ``judge`` keeps, with the columns they came with, whatever their names.
+
+    Null and empty texts fail the base; a very long text is read whole; ties with a cutoff stay; repeated rows stay or go together.
+    """
     # written out, so that its size is known: small tables are broadcast, and texts then aren't shuffled
     cuts = staged(cutoffs(sketch(text_stats(docs), ["lang", "source"]), least_rows, reach), "cutoffs")
-    rows = docs.withColumn("__counts", counts_of(F.col("text").cast("string")))
-    get = lambda k: F.col(f"__counts.{k}")
-    return _with_cutoffs(rows, cuts).where(~base_failed(get) & within(get)).select(*docs.columns)
+    counts = own_name("counts")
+    rows, tag = _with_cutoffs(docs.withColumn(counts, counts_of(F.col("text").cast("string"))), cuts)
+    get = lambda k: F.col(f"{counts}.{k}")
+    return rows.where(~base_failed(get) & _within(get, tag)).select(*docs.columns)

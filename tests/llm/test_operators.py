@@ -53,7 +53,7 @@ def empty(spark):
 
 def clashing(df):
     """The same table with further columns named as the operators' own."""
-    return df.withColumns({c: F.lit("other") for c in ("row", "n", "cls", "key", "label", "measure", "bucket", "text_id", "max_symbol_share", "blk")})
+    return df.withColumns({c: F.lit("other") for c in ("row", "__row", "__counts", "__lang", "__source", "n", "cls", "key", "label", "measure", "bucket", "text_id", "max_symbol_share", "blk")})
 
 
 # --- 1: packing ---------------------------------------------------------------------------------------
@@ -244,6 +244,16 @@ def test_machine_sample_counts_ids(spark, monkeypatch):
 # --- 4: tool calls ------------------------------------------------------------------------------------
 
 
+def test_every_turn_is_a_call_or_a_result(spark, tmp_path):
+    """Opening and system turns too, and rows without a role, a turn or a conversation."""
+    rows = [(1, 0, "system", "be kind"), (1, 1, "assistant", "hm"), (1, 2, "tool", "ok"), (2, 0, "user", "hello"), (2, 1, None, "who"), (2, 2, "assistant", None), (3, None, "assistant", "x"), (3, None, "user", "y"), (None, 1, "user", "z"), (None, None, None, None), (4, 0, "assistant", "first"), (4, 1, "user", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op4_tool_call_linking(spark, str(tmp_path)).collect()
+    linked = [r for r in got if r.status == "linked"]
+    assert len(got) + len(linked) == len(rows) and sorted((r.conv_id, r.call_turn) for r in linked) == [(1, 1), (4, 0)]
+    assert sum(r.status == "no_call" for r in got) == 6 and sum(r.status == "no_result" for r in got) == 2
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
@@ -312,12 +322,25 @@ def test_rules(spark, docs, empty):
     want = Counter((r.doc_id, *plain_counts(r.text)) for r in every.collect())
     assert mine == want
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and (not r.base_failed or not r.kept) for r in got)
-    assert sum(r.kept for r in got) == sum(not r.base_failed for r in got)  # nothing odd but for the base
     kept = rules.keep_good(clashing(every))
     assert kept.columns == clashing(every).columns and kept.count() == sum(r.kept for r in got)
     assert rules.judge(rules.text_stats(empty)).count() == 0 and rules.keep_good(empty).count() == 0
 
 
+def test_fences_follow_their_group(spark):
+    """Two sources of one language: what is usual in one is out of line in the other, on either side."""
+    r = random.Random(4)
+    text = lambda n, size, symbols: " ".join("".join(r.choice("abcdefgh") for _ in range(size + r.randint(-1, 1))) for _ in range(n)) + " " + "#" * symbols
+    rows = [(i, text(60, 5, 0), "en", "prose", 1) for i in range(300)] + [(1000 + i, text(60, 9, r.randint(5, 40)), "en", "code", 1) for i in range(300)]
+    odd = [(5000, text(60, 9, 0), "en", "prose", 1), (5001, text(60, 5, 30), "en", "prose", 1), (5002, text(60, 2, 0), "en", "prose", 1), (5003, text(60, 9, 30), "en", "code", 1), (5004, text(60, 3, 30), "en", "code", 1)]
+    rows += odd + [(6000, text(60, 5, 0), "en", "small", 1), (6001, text(60, 80, 0), "en", "small", 1)]
+    got = {x.doc_id: x.kept for x in rules.judge(rules.text_stats(spark.createDataFrame(rows, DOCS))).collect()}
+    assert sum(not got[i] for i in range(300)) + sum(not got[1000 + i] for i in range(300)) <= 3
+    # words of nine letters and a third of symbols: fine in code, not in prose; words of two or three are too short for both
+    assert [got[x[0]] for x in odd] == [False, False, False, True, False]
+    assert got[6000] and not got[6001]  # too few rows of its own: judged as its language
+
+
 def test_sketch_merges_and_bounds(spark):
     r = np.random.default_rng(5)
     values = r.lognormal(3, 1, 5000)
