@@ -68,8 +68,9 @@ def _structs(text: pa.Array) -> pa.Array:
 
 
 def counts_of(text: Column) -> Column:
-    """The counts as a struct column, where a row must keep its other columns."""
-    return F.arrow_udf(_structs, _STATS)(text)
+    """The counts as a struct column, where a row must keep its other columns. Texts are counted once: a deterministic function
+    would be evaluated again for each filter that Spark moves below a join."""
+    return F.arrow_udf(_structs, _STATS).asNondeterministic()(text)
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
