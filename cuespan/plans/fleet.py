@@ -165,7 +165,9 @@ def tallies(marks: DataFrame) -> DataFrame:
 
 def fraction_of(rows: DataFrame, by_duration: bool = False) -> DataFrame:
     """``session``, ``cur``, ``frac``, ``eta_sec`` of tallies, which a table or a stream gives."""
-    state = {x: F.try_element_at("states", F.lit(x)) for x in K.STAGES}
+    # columns of their own: looked up in every expression, they make more code than Java takes
+    rows = rows.withColumns({f"__{x}": F.try_element_at("states", F.lit(x)) for x in K.STAGES})
+    state = {x: F.col(f"__{x}") for x in K.STAGES}
     if by_duration:
         state["download"] = F.coalesce(state["download"], F.when(F.col("known"), "skip"))
     finished = sum((F.when(state[x].isin("done", "skip"), w).otherwise(0.0) for x, w in K.STAGE_WEIGHTS.items()), F.lit(0.0))
