@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuespan.functions import clock, safety
 from cuespan.functions import text as tx
 from cuespan.operators.ordered import lane, number_rows
+from cuespan.operators.ranged import listing_digests
 
 
 def first_by_path(df: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
@@ -207,13 +208,7 @@ def upload_plan(files: DataFrame, line_of: Column, excludes: dict[str, list[str]
 
 
 def files_signature(files: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """First 16 hex digits of the sha256 over ``path|size|sha`` lines in listing order.
-
-    One hash over one ordered text per upload is what the value is, so an upload's listing meets in
-    one group; it is a list of file names, not of their bytes.
-    """
+    """First 16 hex digits of the sha256 over ``path|size|sha`` lines in listing order (ties by line)."""
     line = F.concat_ws("|", F.col("path"), F.col("size").cast("string"), F.col("sha"))
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))).getField("line")
-    return files.groupBy(*keys).agg(
-        F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 16).alias("signature")
-    )
+    hashed = listing_digests(files, keys, [F.col(order), line], line, "sha256", sep="\n", name="signature")
+    return hashed.withColumn("signature", F.substring("signature", 1, 16))

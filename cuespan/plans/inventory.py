@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions import clock
 from cuespan.operators.ordered import lane, number_rows
+from cuespan.operators.ranged import listing_digests, number_all
 
 MAX_DEPTH = 3
 
@@ -23,8 +24,8 @@ def settled(stable_sec: float, now: float) -> Column:
     return F.bool_and((F.col("size") > 0) & (F.lit(now) - F.col("mtime") >= stable_sec))
 
 
-def targets(files: DataFrame, stable_sec: float, now: float) -> DataFrame:
-    """Targets to queue: the deepest folder (depth 1 or 2) with videos, or a loose root file.
+def targets(files: DataFrame, stable_sec: float, now: float, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Targets to queue: the deepest folder above ``max_depth`` with videos, or a loose root file.
 
     A folder that holds a deeper target is only a wrapper. Hidden entries are skipped.
     """
@@ -35,10 +36,10 @@ def targets(files: DataFrame, stable_sec: float, now: float) -> DataFrame:
     loose = rows.where(depth == 1).groupBy("root", "path").agg(settled(stable_sec, now).alias("ok"))
     loose = loose.where("ok").select("root", F.col("path").alias("target"), F.lit(True).alias("loose"))
     # a folder rests when everything below it down to the depth limit rests
-    inside = rows.where((depth >= 2) & (depth <= MAX_DEPTH + 2))
+    inside = rows.where((depth >= 2) & (depth <= max_depth + 2))
     ancestors = F.array_distinct(
         F.transform(
-            F.sequence(F.lit(1), F.least(depth - 1, F.lit(MAX_DEPTH - 1))),
+            F.sequence(F.lit(1), F.least(depth - 1, F.lit(max_depth - 1))),
             lambda k: F.concat(F.col("root"), F.lit("/"), F.array_join(F.slice("pieces", 1, k), "/")),
         )
     )
@@ -55,15 +56,14 @@ def targets(files: DataFrame, stable_sec: float, now: float) -> DataFrame:
     return loose.unionByName(deepest)
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
+def fingerprints(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """sha1 of a folder path with name, size and whole mtime of the videos below it, in walk order.
 
-    Folders see up to three levels of subfolders. One hash over one ordered listing is what the
-    value is, so a folder's listing (names, not bytes) meets in one group.
+    Folders see up to ``max_depth`` levels of subfolders; ``left_out`` counts what lies deeper.
     """
     rows = with_pieces(files)
     n = F.size("pieces")
-    depth = F.explode(F.sequence(F.greatest(F.lit(0), n - 1 - MAX_DEPTH), n - 1))
+    depth = F.explode(F.sequence(F.greatest(F.lit(0), n - 1 - max_depth), n - 1))
     rows = rows.withColumn("k", depth)
     folder = F.concat_ws("/", "root", F.array_join(F.slice("pieces", 1, F.col("k")), "/"))
     rows = rows.withColumn("target", F.when(F.col("k") == 0, F.col("root")).otherwise(folder))
@@ -71,9 +71,16 @@ def fingerprints(files: DataFrame) -> DataFrame:
         F.lit("|"), clock.base_name(F.col("path")), F.lit("|"), F.col("size").cast("string"),
         F.lit("|"), F.col("mtime").cast("long").cast("string"),
     )
-    listing = F.array_sort(F.collect_list(F.struct("pieces", piece.alias("p")))).getField("p")
-    return rows.groupBy("target").agg(
-        F.sha1(F.concat(F.col("target"), F.array_join(listing, ""))).alias("fingerprint")
+    return listing_digests(
+        rows, ["target"], [F.col("pieces"), piece], piece, "sha1", lead=F.col("target"), name="fingerprint"
+    )
+
+
+def left_out(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Videos and their bytes, per root, in more than ``max_depth`` folders below the root."""
+    deep = F.size("pieces") > max_depth + 1
+    return with_pieces(files).groupBy("root").agg(
+        F.count_if(deep).alias("files"), F.coalesce(F.sum(F.when(deep, F.col("size"))), F.lit(0)).alias("bytes")
     )
 
 
@@ -89,16 +96,18 @@ def covered(targets_fp: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.withColumn("done", F.coalesce(done, F.lit(False))).drop("j")
 
 
-def unprocessed_bytes(files: DataFrame, jobs: DataFrame, stable_sec: float, now: float) -> DataFrame:
+def unprocessed_bytes(
+    files: DataFrame, jobs: DataFrame, stable_sec: float, now: float, max_depth: int = MAX_DEPTH
+) -> DataFrame:
     """Bytes of resting targets no finished job covers, per root.
 
     Loose files of the root form one target, other files belong to their own folder.
     """
-    rows = with_pieces(files).where(F.size("pieces") <= MAX_DEPTH + 1)
+    rows = with_pieces(files).where(F.size("pieces") <= max_depth + 1)
     groups = rows.groupBy("root", F.col("folder").alias("target")).agg(
         settled(stable_sec, now).alias("ok"), F.sum("size").alias("bytes")
     )
-    prints = fingerprints(files)
+    prints = fingerprints(files, max_depth)
     open_ = covered(groups.where("ok").join(prints, "target", "left"), jobs).where(~F.col("done"))
     roots = files.select("root").distinct()
     return roots.join(open_.groupBy("root").agg(F.sum("bytes").alias("b")), "root", "left").select(
@@ -106,9 +115,11 @@ def unprocessed_bytes(files: DataFrame, jobs: DataFrame, stable_sec: float, now:
     )
 
 
-def new_bytes(files: DataFrame, stable_sec: float, now: float, window_sec: float = 86400.0) -> DataFrame:
+def new_bytes(
+    files: DataFrame, stable_sec: float, now: float, window_sec: float = 86400.0, max_depth: int = MAX_DEPTH
+) -> DataFrame:
     """Bytes written in ``(now - window, now]``, without top-level entries that are still growing."""
-    rows = with_pieces(files).where(F.size("pieces") <= MAX_DEPTH + 2)
+    rows = with_pieces(files).where(F.size("pieces") <= max_depth + 2)
     entry = F.get("pieces", F.lit(0))
     fresh = (F.col("mtime") > now - window_sec) & (F.col("mtime") <= now)
     per = rows.groupBy("root", entry.alias("entry")).agg(
@@ -163,10 +174,8 @@ def failed_sessions(jobs: DataFrame) -> DataFrame:
 
 def jobs_in_order(jobs: DataFrame) -> DataFrame:
     """Jobs with their place in the queue by enqueue time."""
-    rows = jobs.withColumn("__t", F.unix_timestamp(F.to_timestamp("enqueued_at")).cast("double")).withColumn(
-        "__q", F.lit(0)
-    )
-    return number_rows(rows, lane("__q", ("__t", "key"), 3600.0), "place").drop("__t", "__q")
+    rows = jobs.withColumn("__t", F.unix_timestamp(F.to_timestamp("enqueued_at")))
+    return number_all(rows, ["__t", "key"], "place").drop("__t")
 
 
 def latest_counts(indexes: DataFrame) -> DataFrame:
@@ -190,7 +199,7 @@ def next_parts(files: DataFrame, new: DataFrame) -> DataFrame:
     """Part numbers of new recordings: the folder's largest plus the place among the new ones."""
     no = F.regexp_extract(clock.stem(F.col("path")), r"P(\d+)", 1).try_cast("long")
     top = files.withColumn("no", no).groupBy("folder").agg(F.max("no").alias("top"))
-    rows = number_rows(new, lane("folder", ("started",), 86400.0), "k")
+    rows = number_rows(new, lane("folder", ("started", *[c for c in new.columns if c not in ("folder", "started")]), 86400.0), "k")
     return rows.join(top, "folder", "left").withColumn(
         "part_no", F.coalesce("top", F.lit(0)) + F.col("k")
     ).drop("top", "k")
@@ -199,17 +208,12 @@ def next_parts(files: DataFrame, new: DataFrame) -> DataFrame:
 def register(index: DataFrame, incoming: DataFrame) -> DataFrame:
     """New recordings (by source path) with the next ``v%03d`` ids after the largest known."""
     fresh = incoming.join(index.select("source_path"), "source_path", "left_anti")
-    fresh = fresh.groupBy("source_path").agg(F.min("ord").alias("ord")).withColumn("__q", F.lit(0))
-    numbered = number_rows(
-        fresh.withColumn("__o", F.col("ord").cast("double")), lane("__q", ("__o", "source_path"), 1024.0), "k"
-    )
+    fresh = fresh.groupBy("source_path").agg(F.min("ord").alias("ord"))
+    numbered = number_all(fresh, ["ord", "source_path"], "k")
     top = index.where(F.startswith("id", F.lit("v"))).agg(
-        F.coalesce(F.max(F.expr("try_cast(substring(id, 2) as bigint)")), F.lit(0)).alias("top")
-    ).withColumn("__q", F.lit(0))
-    # one row by construction, so the broadcast cannot grow
-    return numbered.join(F.broadcast(top), "__q").select(
-        F.format_string("v%03d", F.col("top") + F.col("k")).alias("id"), "source_path"
+        F.coalesce(F.max(F.expr("try_cast(substring(id, 2) as bigint)")), F.lit(0))
     )
+    return numbered.select(F.format_string("v%03d", top.scalar() + F.col("k")).alias("id"), "source_path")
 
 
 def recordings(index: DataFrame) -> DataFrame:

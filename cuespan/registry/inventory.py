@@ -90,6 +90,13 @@ def new_bytes(spark, sf):
     return inventory.new_bytes(T.files(spark, sf), STABLE, NOW)
 
 
+@query("files_below_depth", f"""WITH {T.FILES} SELECT root, count(*) FILTER (length(sub) > 4) AS files, CAST(coalesce(sum(size) FILTER (length(sub) > 4), 0) AS BIGINT) AS bytes
+FROM fl WHERE is_video GROUP BY 1""")
+def files_below_depth(spark, sf):
+    """What a watch of two levels of folders leaves out."""
+    return inventory.left_out(T.files(spark, sf), 2)
+
+
 @query("pending_sources", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_sources(spark, sf):
     d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("src"))
@@ -152,9 +159,9 @@ def next_part_numbers(spark, sf):
 SELECT 'v' || lpad(CAST(n + row_number() OVER (ORDER BY doc_id) AS VARCHAR), CAST(greatest(3, length(CAST(n + row_number() OVER (ORDER BY doc_id) AS VARCHAR))) AS INT), '0') AS id,
   'f' || doc_id AS source_path FROM documents, known WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def register_recordings(spark, sf):
-    from cuespan.operators.ordered import lane, number_rows
+    from cuespan.operators.ranged import number_all
 
-    lab = number_rows(T.table(spark, sf, "labels").select("doc_id", F.lit(0).alias("q")), lane("q", ("doc_id",), 4096.0), "n")
+    lab = number_all(T.table(spark, sf, "labels").select("doc_id"), ["doc_id"], "n")
     index = lab.select(F.format_string("v%03d", "n").alias("id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_path"))
     new = T.table(spark, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_path"), F.col("doc_id").alias("ord"))
     return inventory.register(index, new).select("id", "source_path")
