@@ -8,6 +8,7 @@ from cuespan.plans import clips, edl, transcripts
 from cuespan.registry import tables as T
 from cuespan.registry.book import query
 from cuespan.registry.matches import KNOCKS, build, knocks, pickups
+from cuespan.session import new_folder
 from cuespan.sources import events as ev
 from cuespan.sources import media
 
@@ -49,6 +50,39 @@ def usable_event_rows(spark, sf):
     return e.select("part_dir", "line_no", F.coalesce("src", F.lit("")).alias("src"), F.col("meta.weapons").isNotNull().alias("armed"))
 
 
+def written_lines(spark, sf):
+    """The event lines as files of the shared folder, one per user, read back as lines."""
+    folder = new_folder(spark, "events")
+    rows = event_lines(spark, sf).select(F.regexp_replace("part_dir", "^d", "").alias("part"), "pos", "line")
+    dealt = rows.repartition("part").sortWithinPartitions("part", "pos")
+    dealt.select("part", "line").write.partitionBy("part").text(folder)
+    lines = ev.read_lines(spark, f"{folder}/*/*.txt")
+    return lines.withColumn("part_dir", F.regexp_replace("part_dir", "^part=", "d"))
+
+
+@query("written_event_files", f"WITH {LINES} SELECT part_dir, usable, n_events, n_bad, coalesce(CASE WHEN first_bad THEN NULL ELSE nullif(first_src, '') END, '-') AS first_src FROM fi")
+def written_event_files(spark, sf):
+    f = ev.event_files(ev.parse_lines(written_lines(spark, sf)))
+    first = F.when(~F.col("first_bad"), F.col("first_src"))
+    return f.select("part_dir", "usable", "n_events", "n_bad", F.coalesce(first, F.lit("-")).alias("first_src"))
+
+
+@query("written_event_rows", f"WITH {LINES} SELECT ln.part_dir, pos AS line_no, coalesce(src, '') AS src, CASE WHEN event_id % 2 = 0 THEN 'M7' ELSE '' END AS weapons FROM ln JOIN fi USING (part_dir) WHERE usable AND NOT bad")
+def written_event_rows(spark, sf):
+    e = ev.usable_events(ev.parse_lines(written_lines(spark, sf)))
+    weapons = F.coalesce(F.array_join("meta.weapons", ","), F.lit(""))
+    return e.select("part_dir", "line_no", F.coalesce("src", F.lit("")).alias("src"), weapons.alias("weapons"))
+
+
+@query("stored_events", f"WITH {T.TL} SELECT session, src, kind, round(t_start, 1) AS t_start, round(t_end, 1) AS t_end FROM tl")
+def stored_events(spark, sf):
+    """The timeline written by the event sink and read back."""
+    folder = new_folder(spark, "stored")
+    e = T.timeline(spark, sf).select("session", "src", "kind", "t_start", "t_end")
+    ev.write_events(e, folder)
+    return ev.read_events(spark, folder).select("session", "src", "kind", "t_start", "t_end")
+
+
 def report_parts(spark, sf):
     return T.table(spark, sf, "events").select("user_id").distinct().select(
         F.lit("s").alias("session"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuespan import schemas
 from cuespan.functions import clock, safety
 from cuespan.functions import text as tx
+from cuespan.operators.ordered import Lane, scan
 
 _WEAPON_STRUCTS = "array<struct<name:string>>"
 
@@ -32,23 +33,43 @@ def weapon_names(col: Column) -> Column:
     )
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files below ``path`` with path, length and modification time (null if empty); no bytes are read.
+
+    Spark's sources skip empty files; those are the names in its own listing that no source gives a row for.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    full = files.select(
+        _same_scheme(F.col("_metadata.file_path")).alias("path"), "length", F.col("modificationTime").alias("modified")
+    )
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    empty = names.select(_same_scheme(F.col("path")).alias("path")).join(full.select("path"), "path", "left_anti")
+    return full.unionByName(empty.withColumn("length", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def _same_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of event files: path, part_dir, pos (0-based), line, last."""
-    source = spark.read.text(path, wholetext=True)
-    files = source.select(F.col("_metadata.file_path").alias("path"), "value")
-    # Spark reads no rows from empty files, but an empty file is a result: 0 events. Its name comes
-    # from the listing Spark has already made (names only, one per part).
-    listed = spark.createDataFrame([(f,) for f in source.inputFiles()], "path string")
-    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-    empty = listed.join(files.select("path"), "path", "left_anti").withColumn("value", F.lit(""))
-    files = files.unionByName(empty)
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.btrim(x) != "")
-    files = files.select("path", lines.alias("lines"))
-    rows = files.select("path", F.size("lines").alias("n"), F.posexplode_outer("lines").alias("pos", "line"))
+    """Non-blank lines of event files: path, part_dir, pos (0-based), line, last.
+
+    Files are read as plain lines, so Spark splits large ones. A line's place is the count of the splits before it
+    plus its place in its own split. A file without such lines is a result as well (0 events): it gives one row
+    without pos and line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        _same_scheme(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("__split"),
+        F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("line"),
+    ).where(F.btrim("line") != "")
+    one = F.lit(1).cast("long")
+    placed = scan(
+        lines, Lane(("path",), ("__split", "__id"), 1.0, F.col("__split")), running={"__no": one}, total={"__n": one}
+    )
+    rows = listed_files(spark, path).select("path").join(placed, "path", "left")
     return rows.select(
-        "path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("part_dir"), "pos", "line",
-        (F.col("pos") == F.col("n") - 1).alias("last"),
+        "path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("part_dir"),
+        (F.col("__no") - 1).alias("pos"), "line", (F.col("__no") == F.col("__n")).alias("last"),
     )
 
 
@@ -166,3 +187,8 @@ def rounded(events: DataFrame) -> DataFrame:
 def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines by session; NULL fields are left out, the committer publishes whole files."""
     rounded(events).write.mode(mode).option("ignoreNullFields", "true").partitionBy("session").json(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events as ``write_events`` leaves them, with the session of their folder."""
+    return spark.read.schema(schemas.EVENTS).json(path)

@@ -162,6 +162,8 @@ def test_event_file_matrix(spark, tmp_path):
     parsed = ev.parse_lines(ev.read_lines(spark, str(tmp_path / "*" / "events.jsonl"))).cache()
     f = {r.part_dir: (r.usable, r.n_events) for r in ev.event_files(parsed).collect()}
     assert f == {"a_full": (True, 2), "b_full": (False, 1), "c_full": (True, 2), "d_full": (True, 0)}
+    listed = {r.path.split("/")[-2]: r.length for r in ev.listed_files(spark, str(tmp_path / "*" / "events.jsonl")).collect()}
+    assert set(listed) == set(files) and listed["d_full"] == 0
     e = ev.usable_events(parsed).where(F.col("part_dir") == "a_full").orderBy("line_no").collect()
     assert [list(x.meta.weapons) for x in e] == [["AKM"], ["M7"]] and e[1].price == 5
     parts = spark.createDataFrame([("s", "/v/a.mp4", "a.mp4", 1, 1.0), ("s", "/v/d.mp4", "d.mp4", 2, 1.0), ("s", "/v/b.mp4", "b.mp4", 3, 1.0)], schemas.PARTS)
@@ -169,6 +171,25 @@ def test_event_file_matrix(spark, tmp_path):
     assert chosen == {"/v/a.mp4": "a_full", "/v/d.mp4": "d_full"}
 
 
+def test_lines_of_split_files_keep_their_places(spark, tmp_path):
+    want = {}
+    for d, n in (("a", 3000), ("b", 1), ("blank", 0)):
+        (tmp_path / d).mkdir()
+        lines = [f"{d} line {i} " + "x" * (i % 50) for i in range(n)]
+        body = "\r\n \n".join(lines) + "\n\n"  # blank lines and both line ends
+        (tmp_path / d / "e.jsonl").write_bytes(body.encode())
+        want |= {(d, i): (x, i == n - 1) for i, x in enumerate(lines)} or {(d, None): (None, None)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = ev.read_lines(spark, str(tmp_path / "*" / "e.jsonl"))
+        got = {(r.part_dir, r.pos): (r.line, r.last) for r in df.collect()}
+        scans = spark.read.text(str(tmp_path / "a")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert scans > 5 and got == want
+
+
 def test_access_goldens(spark):
     def line(ip, day, rest):
         return f'{ip} - - [{day}/Oct/2026:09:00:01 +0800] "GET /eval/clients/x.json?{rest} HTTP/1.1" 200 237 "-" "-"'
