@@ -225,18 +225,17 @@ def report_lines(matches: DataFrame) -> DataFrame:
     return rows.unionByName(total)
 
 
+REPORT_HEAD = [
+    "| 局 | 进入 | 干员 | 主武器 | 时长 | 击倒 | 多击倒(20s) | 官方击杀 | 拾取 | 撤离 | 本局收获 |",
+    "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |",
+]
+
+
 def report_document(matches: DataFrame) -> DataFrame:
     """One markdown text per session."""
-    head = (
-        "| 局 | 进入 | 干员 | 主武器 | 时长 | 击倒 | 多击倒(20s) | 官方击杀 | 拾取 | 撤离 | 本局收获 |\n"
-        "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |\n"
-    )
-    body = F.array_join(
-        F.array_sort(F.collect_list(F.struct("line_no", "line"))).getField("line"), "\n"
-    )
-    return report_lines(matches).groupBy("session").agg(
-        F.concat(F.lit(head), body, F.lit("\n")).alias("markdown")
-    )
+    body = F.array_sort(F.collect_list(F.struct("line_no", "line"))).getField("line")
+    text = F.array_join(F.concat(F.array(*[F.lit(x) for x in REPORT_HEAD]), body), "\n")
+    return report_lines(matches).groupBy("session").agg(F.concat(text, F.lit("\n")).alias("markdown"))
 
 
 def session_gear(events: DataFrame, bases: DataFrame, width: float = 86400.0) -> DataFrame:

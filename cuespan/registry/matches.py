@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from cuespan.plans import clips, matches
 from cuespan.registry import tables as T
 from cuespan.registry.book import query
+from cuespan.session import new_folder
+from cuespan.sources import documents, media
+from cuespan.sources import events as ev
 
 W = 86400.0
 
@@ -77,7 +80,8 @@ def match_totals(spark, sf):
     return matches.report_totals(build(spark, sf))
 
 
-@query("match_report_lines", f"""WITH RECURSIVE {MATCHES} SELECT session, no AS line_no,
+REPORT = f"""{MATCHES}, rl AS (
+SELECT session, no AS line_no,
   '| ' || no || ' | ' || printf('%02d:%02d:%02d', (CAST(round_even(enter, 0) AS BIGINT) // 3600) % 24, CAST(round_even(enter, 0) AS BIGINT) % 3600 // 60, CAST(round_even(enter, 0) AS BIGINT) % 60)
   || ' | ' || CASE WHEN operator <> '' THEN operator || '(' || CASE operator WHEN '红狼' THEN '突击' WHEN '骇爪' THEN '侦察' ELSE '支援' END || ')' ELSE '-' END
   || ' | ' || CASE WHEN primary_weapon <> '' THEN primary_weapon ELSE '-' END
@@ -85,16 +89,34 @@ def match_totals(spark, sf):
   || ' | ' || downs || ' | ' || CASE WHEN multi > 0 THEN multi || '次(' || multi_sizes || ')' ELSE '0' END
   || ' | ' || coalesce(CAST(kills_official AS VARCHAR), '-') || ' | ' || loots
   || ' | ' || CASE WHEN ok THEN '✅' WHEN NOT ok THEN '❌' ELSE '-' END
-  || ' | ' || CASE WHEN profit IS NOT NULL THEN format('{{:,}}', profit) WHEN NOT ok THEN '0（装备损失）' ELSE '-' END || ' |' AS line FROM mt""")
+  || ' | ' || CASE WHEN profit IS NOT NULL THEN format('{{:,}}', profit) WHEN NOT ok THEN '0（装备损失）' ELSE '-' END || ' |' AS line FROM mt
+UNION ALL SELECT session, count(*) + 1, '| **合计** | | | | | **' || sum(downs) || '** | **' || sum(multi) || '次** | | **' || sum(loots) || '** | **'
+  || count(*) FILTER (ok) || '/' || count(*) || '** | **' || format('{{:,}}', CAST(coalesce(sum(profit), 0) AS BIGINT)) || '** |' FROM mt GROUP BY 1),
+hd AS (SELECT unnest(['{matches.REPORT_HEAD[0]}', '{matches.REPORT_HEAD[1]}']) AS line, unnest([-1, 0]) AS line_no)"""
+
+
+def report_matches(spark, sf):
+    return build(spark, sf).withColumn("dur", F.round("dur", 3)).withColumn("src", F.lit(""))
+
+
+@query("match_report_lines", f"WITH RECURSIVE {REPORT} SELECT session, line_no, line FROM rl")
 def match_report_lines(spark, sf):
-    m = build(spark, sf).withColumn("dur", F.round("dur", 3)).withColumn("src", F.lit(""))
-    lines = matches.report_lines(m)
-    return lines.where(~F.contains("line", F.lit("合计")))
+    return matches.report_lines(report_matches(spark, sf))
 
 
-@query("report_documents")
+@query("report_documents", f"""WITH RECURSIVE {REPORT}, al AS (SELECT * FROM rl UNION ALL SELECT DISTINCT rl.session, hd.line_no, hd.line FROM rl, hd)
+SELECT session, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS markdown FROM al GROUP BY 1""")
 def report_documents(spark, sf):
-    return matches.report_document(build(spark, sf))
+    return matches.report_document(report_matches(spark, sf))
+
+
+@query("report_document_lines", f"""WITH RECURSIVE {REPORT} SELECT session, line_no + 1 AS pos, line FROM rl UNION ALL SELECT DISTINCT rl.session, hd.line_no + 1, hd.line FROM rl, hd""")
+def report_document_lines(spark, sf):
+    """The reports written as one file per session and read back line by line."""
+    folder = new_folder(spark, "reports")
+    documents.write(documents.text_lines(matches.REPORT_HEAD, matches.report_lines(report_matches(spark, sf)), "line_no"), folder)
+    lines = ev.read_lines(spark, documents.files_of(folder))
+    return lines.select(F.regexp_extract("part_dir", "=(.*)$", 1).alias("session"), "pos", "line")
 
 
 @query("unclocked_events", f"""WITH RECURSIVE {T.TL}, {T.BASES} SELECT tl.session, tl.kind, count(*) AS n FROM tl LEFT JOIN fold f ON f.src = tl.src
@@ -150,6 +172,20 @@ def knock_clips(spark, sf):
     )
 
 
+@query("clip_document_rows", f"""WITH {KNOCKS} SELECT session, count(*) OVER (PARTITION BY session) AS n_clips, seq, src, t0 AS t_start, t1 AS t_end, round(cut0, 2) AS cut0,
+  round(cut1, 2) AS cut1, targets, label FROM kc""")
+def clip_document_rows(spark, sf):
+    """Clip indexes written as one JSON file per session and read back."""
+    folder = new_folder(spark, "clips")
+    c = knocks(spark, sf).withColumn("place", F.col("seq"))
+    documents.write(media.clip_document_lines(c, "place", ["seq", "src", "t_start", "t_end", "cut", "targets", "label", "file"]), folder)
+    docs = documents.read_json(
+        spark, folder, "session string, n long, clips array<struct<seq:long,src:string,t_start:double,t_end:double,cut:array<double>,targets:array<string>,label:string>>"
+    )
+    rows = docs.select("session", F.col("n").alias("n_clips"), F.explode("clips").alias("c")).select("session", "n_clips", "c.*")
+    return rows.withColumns({"cut0": F.get("cut", F.lit(0)), "cut1": F.get("cut", F.lit(1)), "targets": F.array_join("targets", ",")}).drop("cut")
+
+
 def pickups(spark, sf):
     e, p = T.timeline(spark, sf, with_gear=True), T.parts(spark, sf)
     b = matches.part_bases(p)

@@ -9,8 +9,9 @@ from cuespan.registry import tables as T
 from cuespan.registry.book import query
 from cuespan.registry.matches import KNOCKS, knocks
 from cuespan.registry.sources import label_files
-from cuespan.session import cut_lineage
-from cuespan.sources.media import parse_labels
+from cuespan.session import cut_lineage, new_folder
+from cuespan.sources import documents
+from cuespan.sources.media import edl_document_lines, parse_labels
 
 CL = f"""{T.TL}, cg AS (
   SELECT *, CASE WHEN src = lag(src) OVER w AND t_start - lag(t_start) OVER w <= 15 THEN 0 ELSE 1 END AS o
@@ -70,14 +71,33 @@ def plan_fast_cut(spark, sf):
 NO = "coalesce(CAST(nullif((SELECT count(*) FROM tl m WHERE m.kind = 'match_start' AND m.session = {x}.session AND m.src = {x}.src AND m.t_start <= {x}.{t}), 0) AS VARCHAR), '')"
 
 
-@query("plan_category_mix", f"""WITH {CL}, {T.SE}, gs AS (
+MIX = f"""{CL}, {T.SE}, gs AS (
   SELECT session, src, a - 6 AS t0, b + 5 AS t1, greatest(12, b + 5 - (a - 6)) AS cap, n, pos AS ins, {NO.format(x="cr", t="a")} AS no FROM cr WHERE pos <= 6), {snap_sql("gs", "sn")},
-fi AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY src, t_in, ins) AS seg FROM sn)
-SELECT session, seg, src, t_in, t_out, 'kill' AS kind, n AS count, NULL::BIGINT AS price, '击杀' || seg || ' 第' || no || '场 ' || {KILL} AS caption FROM fi""")
+fi AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY src, t_in, ins) AS seg FROM sn)"""
+MIX_ROWS = """session, seg, src, t_in, t_out, 'kill' AS kind, n AS count, NULL::BIGINT AS price, '击杀' || seg || ' 第' || no || '场 ' || """ + KILL + """ AS caption FROM fi"""
+
+
+@query("plan_category_mix", f"WITH {MIX} SELECT {MIX_ROWS}")
 def plan_category_mix(spark, sf):
     return show(edl.category_mix(pool(spark, sf), T.sentences(spark, sf)))
 
 
+@query("edl_document_rows", f"""WITH {MIX}, ro AS (SELECT {MIX_ROWS}),
+ps AS (SELECT session, count(*) FILTER (kind = 'down') AS n_down, count(*) FILTER (kind = 'extract' AND ok) AS n_extract_ok, count(*) AS n_events FROM tl GROUP BY 1)
+SELECT 'category_mix' AS template, '1080x1920' AS resolution, n_down, n_extract_ok, n_events, ro.* FROM ro JOIN ps USING (session)""")
+def edl_document_rows(spark, sf):
+    """Edit decision lists written as one JSON file per session and read back, all segments in full."""
+    folder = new_folder(spark, "edl")
+    p = cut_lineage(pool(spark, sf))
+    segs = show(edl.category_mix(p, T.sentences(spark, sf)))
+    documents.write(edl_document_lines(segs, edl.pool_stats(p), "category_mix", F.lit("1080x1920")), folder)
+    docs = documents.read_json(
+        spark, folder, "session string, template string, resolution string, pool_stats struct<n_down:long,n_extract_ok:long,n_events:long>, "
+        "segments array<struct<seg:long,src:string,t_in:double,t_out:double,kind:string,count:long,price:long,caption:string>>"
+    )
+    return docs.select("session", "template", "resolution", "pool_stats.*", F.explode("segments").alias("s")).select("*", "s.*").drop("s")
+
+
 @query("plan_match_story", f"""WITH {CL}, {LOOTS}, {T.SE},
 fm AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY part_dir, t_start, line_no) AS rn FROM tl WHERE kind = 'match_start'),
 ee AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ok DESC, part_dir DESC, line_no DESC) AS rn FROM tl WHERE kind = 'extract'),

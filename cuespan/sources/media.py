@@ -9,6 +9,7 @@ from cuespan import constants as K
 from cuespan import schemas
 from cuespan.functions import clock
 from cuespan.operators.ordered import lane, number_rows
+from cuespan.sources import documents
 
 
 def list_videos(spark: SparkSession, path: str) -> DataFrame:
@@ -116,5 +117,22 @@ def edl_document(segs: DataFrame, stats: DataFrame, template: str, resolution: C
     )
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    docs.write.mode(mode).partitionBy("session").json(path)
+def clip_document_lines(clips: DataFrame, place: str, columns: list[str]) -> DataFrame:
+    """Clip index of each session as the lines of a document: number of clips, then the clips."""
+    heads = clips.groupBy("session").agg(F.count("*").alias("n"))
+    return documents.json_lines(heads, {"clips": (clips.select("session", place, *columns), place)})
+
+
+def edl_document_lines(segs: DataFrame, stats: DataFrame, template: str, resolution: Column) -> DataFrame:
+    """Edit decision list of each session with segments, as the lines of a document."""
+    heads = stats.join(segs.select("session"), "session", "left_semi").select(
+        "session", F.lit(template).alias("template"), resolution.alias("resolution"),
+        F.struct("n_down", "n_extract_ok", "n_events").alias("pool_stats"),
+    )
+    cols = [c for c in segs.columns if c not in ("t0", "t1", "cap", "ins", "hook")]
+    return documents.json_lines(heads, {"segments": (segs.select(*cols, F.col("seg").alias("__place")), "__place")})
+
+
+def voice_document_lines(clips: DataFrame) -> DataFrame:
+    """Voice index of each session: its number of clips, then the clips in their places."""
+    return clip_document_lines(clips, "place", [c for c in clips.columns if c not in ("session", "place")])
