@@ -57,7 +57,9 @@ def text_lines(head: list[str], lines: DataFrame, place: str) -> DataFrame:
 
 def write(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One file per session below ``path``, in the order of section and place."""
-    dealt = lines.withColumn(_FOLDER, F.col("session")).repartition(_FOLDER)
+    # dealt by a hash of the session: Spark takes out a plain repartition where every branch of a union is dealt by
+    # session already, and then still writes a file per branch
+    dealt = lines.withColumn(_FOLDER, F.col("session")).repartition(F.xxhash64("session"))
     ordered = dealt.sortWithinPartitions(_FOLDER, "section", "place")
     ordered.select(_FOLDER, "line").write.mode(mode).partitionBy(_FOLDER).text(path)
 
