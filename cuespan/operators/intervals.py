@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuespan.operators.ordered import lane, number_rows, scan
 
 
+STEP = 4.0
+TOP = 40
+
+
 def stab(
     points: DataFrame,
     intervals: DataFrame,
@@ -20,36 +24,66 @@ def stab(
     hi: str,
     width: float,
     *,
-    how: str = "inner",
     open_hi: bool = False,
-    salts: int = 1,
+    rows_a_cell: int | None = None,
 ) -> DataFrame:
     """Pairs of a point and an interval that holds it.
 
-    Intervals are listed in every bucket they touch, points in one, and the join is an equi join
-    on keys and bucket. ``salts`` splits a bucket that is hot on the point side.
+    The axis is cut into cells of ``width``, of four times ``width``, and so on. An interval is listed in cells
+    about as long as itself, in two of them at most (three where a length rounds), however long it is. A point is
+    listed once for each level that has intervals, usually one; the levels are a scalar subquery, at most 41 numbers.
+    The join is an equi join on keys, level and cell. Without an upper or lower end (infinite, NaN) an
+    interval is at the top level, whose two cells hold every point.
+
+    With ``rows_a_cell``, cells with more points than that are counted first and split by a hash of the point in as
+    many parts as they need; only these cells' intervals are listed several times.
     """
     keys = list(keys)
-    w = F.lit(float(width))
-    span = F.explode(F.sequence(F.floor(F.col(lo) / w), F.floor(F.col(hi) / w)))
-    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__b", span)
-    iv = iv.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    w = float(width)
+    length = F.col(hi) - F.col(lo)
+    level = F.when(F.isnan(length), TOP).when(length <= w, 0).otherwise(F.ceil(F.log(STEP, length / w)))
+    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__level", F.least(F.lit(TOP), level).cast("int"))
+    levels = iv.agg(F.collect_set("__level")).scalar()
+
+    def cell(at: str, level: str) -> Column:
+        c = F.floor(F.col(at) / (F.lit(w) * F.pow(F.lit(STEP), F.col(level))))
+        return F.when(F.col(level) == TOP, F.least(F.lit(0), F.greatest(F.lit(-1), c))).otherwise(c).cast("long")
+
+    iv = iv.withColumn("__cell", F.explode(F.sequence(cell(lo, "__level"), cell(hi, "__level"))))
     iv = iv.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        "__b",
-        "__salt",
+        *[F.col(k).alias(f"__k_{k}") for k in keys], "__level", "__cell",
         *[c for c in intervals.columns if c not in keys],
     )
-    pt = points.withColumn("__pb", F.floor(F.col(t) / w)).withColumn(
-        "__ps", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
-    )
+    pt = points.withColumn("__pl", F.explode(levels)).withColumn("__pc", cell(t, "__pl"))
+    cond = (F.col("__pl") == F.col("__level")) & (F.col("__pc") == F.col("__cell"))
+    if rows_a_cell is not None:
+        hot = pt.groupBy(*keys, "__pl", "__pc").agg(F.count("*").alias("__n")).where(F.col("__n") > rows_a_cell)
+        hot = hot.select(
+            *[F.col(k).alias(f"__h_{k}") for k in keys], F.col("__pl").alias("__hl"), F.col("__pc").alias("__hc"),
+            F.ceil(F.col("__n") / rows_a_cell).alias("__parts"),
+        )
+        parts = F.coalesce("__parts", F.lit(1).cast("long"))
+        used = ["__hl", "__hc", "__parts", *[f"__h_{k}" for k in keys]]
+
+        def at_hot(level: str, cell: str, prefix: str) -> Column:
+            same = (F.col(level) == F.col("__hl")) & (F.col(cell) == F.col("__hc"))
+            for k in keys:
+                same = same & F.col(prefix + k).eqNullSafe(F.col(f"__h_{k}"))
+            return same
+
+        iv = iv.join(hot, at_hot("__level", "__cell", "__k_"), "left").withColumn(
+            "__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        ).drop(*used)
+        pt = pt.join(hot, at_hot("__pl", "__pc", ""), "left").withColumn(
+            "__pp", F.pmod(F.xxhash64(*points.columns), parts)
+        ).drop(*used)
+        cond = cond & (F.col("__pp") == F.col("__part"))
     inside = F.col(t) < F.col(hi) if open_hi else F.col(t) <= F.col(hi)
-    cond = (F.col("__pb") == F.col("__b")) & (F.col("__ps") == F.col("__salt"))
     cond = cond & (F.col(t) >= F.col(lo)) & inside
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = pt.join(iv, cond, how)
-    return out.drop("__pb", "__ps", "__b", "__salt", *[f"__k_{k}" for k in keys])
+    out = pt.join(iv, cond)
+    return out.drop("__pl", "__pc", "__pp", "__level", "__cell", "__part", *[f"__k_{k}" for k in keys])
 
 
 def count_in_spans(

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from cuespan.operators.distribution import percentiles, strict_rank
 from cuespan.operators.intervals import count_in_spans, merge_spans, stab
@@ -101,8 +102,8 @@ def test_spans_and_intervals(spark, df):
     assert got == want
     iv = [(k, t, round(t + v * 1.5, 1), i) for k, t, i, v in rows(4, 40)]
     ivd = spark.createDataFrame(iv, "k string, lo double, hi double, iid int")
-    for salts in (1, 3):
-        pairs = {(r.k, r.id, r.iid) for r in stab(df, ivd, ["k"], "t", "lo", "hi", 4.0, salts=salts).collect()}
+    for most in (None, 3):
+        pairs = {(r.k, r.id, r.iid) for r in stab(df, ivd, ["k"], "t", "lo", "hi", 4.0, rows_a_cell=most).collect()}
         assert pairs == {(k, i, x[3]) for k, t, i, _ in rows(1) for x in iv if x[0] == k and x[1] <= t <= x[2]}
     plan = stab(df, ivd, ["k"], "t", "lo", "hi", 4.0)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -116,6 +117,50 @@ def test_spans_and_intervals(spark, df):
             assert isl[x[3]] == (k, n)
 
 
+@pytest.mark.parametrize("most", [None, 500])
+def test_stab_of_a_year_long_span_and_a_hot_cell(spark, most):
+    year = 365 * 86400.0
+    inf = float("inf")
+    spans = [("k", 0.0, year, 1), ("k", 10.0, 10.5, 2), ("k", 3.0, 3.0, 3), (None, -inf, inf, 4), ("k", 5.0, 4.0, 5),
+             ("k", -100.0, 1000.0, 6), ("k", year, inf, 7), ("k", -inf, -1.0, 8), ("k", None, 9.0, 9)]
+    points = [("k", 10.2, i) for i in range(4000)]  # one hot cell
+    points += [("k", x, 5000 + i) for i, x in enumerate((-2.0, -0.5, 0.0, 3.0, 10.5, 999.9, year, year + 1, 1e12))]
+    points += [(None, -1e9, 6000), (None, 1e9, 6001), ("other", 10.2, 6002), ("k", None, 6003)]
+    p = spark.createDataFrame(points, "k string, t double, id int").repartition(3)
+    iv = spark.createDataFrame(spans, "k string, lo double, hi double, iid int")
+    for open_hi in (False, True):
+        got = stab(p, iv, ["k"], "t", "lo", "hi", 2.0, open_hi=open_hi, rows_a_cell=most).collect()
+        want = sorted(
+            (i, n) for k, t, i in points for sk, lo, hi, n in spans
+            if k == sk and None not in (t, lo) and lo <= t and (t < hi or (t == hi and not open_hi)) and lo <= hi
+        )
+        assert sorted((r.id, r.iid) for r in got) == want
+
+
+def test_stab_lists_a_span_in_a_few_cells_and_splits_hot_ones(spark):
+    p = spark.range(4000).select(F.lit("k").alias("k"), F.lit(7.5).alias("t"), "id")
+    spans = [("k", float(i), float(i) + 2.0**j, j) for i in (0, 1, 7) for j in range(26)]
+    iv = spark.createDataFrame(spans, "k string, lo double, hi double, iid int")
+    sides = {}
+    real = DataFrame.join
+
+    def seen(self, other, *a, **kw):
+        if "__pl" in self.columns and "__level" in other.columns:
+            sides["points"], sides["spans"] = self, other
+        return real(self, other, *a, **kw)
+
+    DataFrame.join = seen
+    try:
+        stab(p, iv, ["k"], "t", "lo", "hi", 1.0)
+        assert sides["spans"].groupBy("lo", "hi").count().agg(F.max("count")).first()[0] <= 2
+        one = spark.createDataFrame([("k", 7.0, 8.0, 1)], "k string, lo double, hi double, iid int")
+        stab(p, one, ["k"], "t", "lo", "hi", 1.0, rows_a_cell=500)
+        parts = [r["count"] for r in sides["points"].groupBy("__pl", "__pc", "__pp").count().collect()]
+        assert len(parts) == 8 and max(parts) < 700
+    finally:
+        DataFrame.join = real
+
+
 def taken_in_order(spans, apart):
     """The plain loop: spans in rank order, kept where there is room."""
     kept, out = [], []
