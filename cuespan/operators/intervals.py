@@ -25,6 +25,7 @@ def stab(
     width: float,
     *,
     open_hi: bool = False,
+    levels: int | None = None,
     rows_a_cell: int | None = None,
 ) -> DataFrame:
     """Pairs of a point and an interval that holds it.
@@ -35,6 +36,9 @@ def stab(
     The join is an equi join on keys, level and cell. Without an upper or lower end (infinite, NaN) an
     interval is at the top level, whose two cells hold every point.
 
+    ``levels`` spares the look at the intervals where their rule keeps them short: only so many levels are used, and
+    a longer interval is listed in more cells of the highest of them.
+
     With ``rows_a_cell``, cells with more points than that are counted first and split by a hash of the point in as
     many parts as they need; only these cells' intervals are listed several times.
     """
@@ -42,8 +46,12 @@ def stab(
     w = float(width)
     length = F.col(hi) - F.col(lo)
     level = F.when(F.isnan(length), TOP).when(length <= w, 0).otherwise(F.ceil(F.log(STEP, length / w)))
-    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__level", F.least(F.lit(TOP), level).cast("int"))
-    levels = iv.agg(F.collect_set("__level")).scalar()
+    top = TOP if levels is None else levels - 1
+    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__level", F.least(F.lit(top), level).cast("int"))
+    if levels is None:
+        used_levels = iv.agg(F.collect_set("__level")).scalar()
+    else:
+        used_levels = F.array(*[F.lit(i) for i in range(levels)])
 
     def cell(at: str, level: str) -> Column:
         c = F.floor(F.col(at) / (F.lit(w) * F.pow(F.lit(STEP), F.col(level))))
@@ -54,7 +62,7 @@ def stab(
         *[F.col(k).alias(f"__k_{k}") for k in keys], "__level", "__cell",
         *[c for c in intervals.columns if c not in keys],
     )
-    pt = points.withColumn("__pl", F.explode(levels)).withColumn("__pc", cell(t, "__pl"))
+    pt = points.withColumn("__pl", F.explode(used_levels)).withColumn("__pc", cell(t, "__pl"))
     cond = (F.col("__pl") == F.col("__level")) & (F.col("__pc") == F.col("__cell"))
     if rows_a_cell is not None:
         hot = pt.groupBy(*keys, "__pl", "__pc").agg(F.count("*").alias("__n")).where(F.col("__n") > rows_a_cell)

@@ -127,7 +127,7 @@ def interface_sessions(
     )
     strip = container_reads(readings.where(in_region(K.CONTAINER_STRIP) & (F.col("score") >= 0.5)))
     per_frame = strip.groupBy(*PART, "t", "container").agg(F.max_by("cur", "seq").alias("cur"))
-    near = stab(per_frame, spans, PART, "t", "lo", "hi", 60.0).drop("lo", "hi")
+    near = stab(per_frame, spans, PART, "t", "lo", "hi", 60.0, levels=1).drop("lo", "hi")
     # container readings near islands are a small part of all readings; read three times below
     reads = cut_lineage(gap_groups(near, lane(ISLAND, "t", width), 2.2, "view"))
     view = (*ISLAND, "view")

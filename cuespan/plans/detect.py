@@ -74,7 +74,7 @@ def visible_readings(
     band = F.coalesce(in_region(K.INFO_BAND), F.lit(False))
     inside = readings.where(band).withColumn("off_band", F.lit(False))
     tracked = (
-        stab(readings.where(~band), spans, PART, "t", "lo", "hi", 60.0, open_hi=True)
+        stab(readings.where(~band), spans, PART, "t", "lo", "hi", 60.0, open_hi=True, levels=1)
         .where(F.col("t") > F.col("lo"))
         .drop("lo", "hi")
         .withColumn("off_band", F.lit(True))
@@ -185,7 +185,7 @@ def _extracts(readings: DataFrame, vis: DataFrame, spans: DataFrame) -> DataFram
     )
     frames = hits.groupBy(*at_frame).agg(F.min("seq").alias("first_seq"))
     full = (
-        stab(frames, spans, PART, "t", "lo", "hi", 60.0, open_hi=True)
+        stab(frames, spans, PART, "t", "lo", "hi", 60.0, open_hi=True, levels=1)
         .where(F.col("t") > F.col("lo"))
         .select(*at_frame)
         .distinct()
@@ -290,15 +290,14 @@ def apply_speech(events: DataFrame, sentences: DataFrame, width: float = READ_CH
         (F.col("start") - 10).alias("lo"), (F.col("end") + 10).alias("hi"),
     )
     at = [*PART, "t_start", "t_end", "detail"]
-    near = first_k(stab(bare, spans, PART, "mid", "lo", "hi", 30.0), at, ["sid"], 3)
-    hints = near.groupBy(*at).agg(
-        F.array_sort(F.collect_list(F.struct("sid", "stext"))).alias("h")
-    ).select(*at, F.col("h.stext").alias("hints"))
-    # the price looks at every hint: the best-placed word per loot over all its sentences
-    priced = stab(bare, spans, PART, "mid", "lo", "hi", 30.0).select(
-        *at, _price_position(F.col("stext")).alias("pos")
-    ).groupBy(*at).agg(F.min("pos").alias("pos"))
-    got = events.join(hints, at, "left").join(priced, at, "left")
+    # the price looks at every sentence, for the best-placed word; the first three sentences are the hints
+    pairs = stab(bare, spans, PART, "mid", "lo", "hi", 30.0, levels=1).withColumn(
+        "pos", F.min(_price_position(F.col("stext"))).over(W.partitionBy(*at))
+    )
+    hints = first_k(pairs, at, ["sid"], 3).groupBy(*at).agg(
+        F.array_sort(F.collect_list(F.struct("sid", "stext"))).alias("h"), F.min("pos").alias("pos")
+    ).select(*at, F.col("h.stext").alias("hints"), "pos")
+    got = events.join(hints, at, "left")
     mine = (
         (F.col("kind") == "loot")
         & (F.coalesce(F.col("price"), F.lit(0)) == 0)
@@ -349,7 +348,7 @@ def _spoken_only(loots: DataFrame, said: DataFrame, width: float) -> DataFrame:
     spans = loots.select(
         *PART, (F.col("t_start") - 10).alias("lo"), (F.col("t_end") + 10).alias("hi")
     ).distinct()
-    covered = stab(short, spans, PART, "mid", "lo", "hi", 30.0).select(*PART, "id").distinct()
+    covered = stab(short, spans, PART, "mid", "lo", "hi", 30.0, levels=1).select(*PART, "id").distinct()
     alone = short.join(covered, [*PART, "id"], "left_anti")
     price = tx.estimate_price(F.col("text"))
     meta_type = loots.schema["meta"].dataType

@@ -127,7 +127,7 @@ def loadouts(spark, sf):
 
 @query("merged_tables", """SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'x' || n_nationkey ELSE r_name END AS kind FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def merged_tables(spark, sf):
-    n = T.table(spark, sf, "nation").join(F.broadcast(T.table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = T.table(spark, sf, "nation").join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     base = n.select("n_name", F.col("r_name").alias("kind"))
     over = n.where("n_nationkey % 2 = 0").select("n_name", F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("kind"))
     return loadout.merged_table(base, over, "n_name", "kind")

@@ -102,8 +102,8 @@ def test_spans_and_intervals(spark, df):
     assert got == want
     iv = [(k, t, round(t + v * 1.5, 1), i) for k, t, i, v in rows(4, 40)]
     ivd = spark.createDataFrame(iv, "k string, lo double, hi double, iid int")
-    for most in (None, 3):
-        pairs = {(r.k, r.id, r.iid) for r in stab(df, ivd, ["k"], "t", "lo", "hi", 4.0, rows_a_cell=most).collect()}
+    for levels, most in ((None, None), (None, 3), (1, None), (3, 3)):
+        pairs = {(r.k, r.id, r.iid) for r in stab(df, ivd, ["k"], "t", "lo", "hi", 4.0, levels=levels, rows_a_cell=most).collect()}
         assert pairs == {(k, i, x[3]) for k, t, i, _ in rows(1) for x in iv if x[0] == k and x[1] <= t <= x[2]}
     plan = stab(df, ivd, ["k"], "t", "lo", "hi", 4.0)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
